@@ -36,6 +36,25 @@ def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .baseline_jpeg import media_features, media_of_texts
+
+    return media_features(media_of_texts(table(spark, sf_dir, "documents")))
+
+
+def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_store import archive
+
+    return archive(table(spark, sf_dir, "pages"))
+
+
+def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covering_simhash import hexed, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
