@@ -59,6 +59,17 @@ def text_or_empty(df: DataFrame, name: str = "text"):
     return F.coalesce(df[name].cast("string"), F.lit(""))
 
 
+def constants(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A few rows of strings, numbers and booleans as a local relation (no Python on the executors)."""
+
+    def literal(x) -> str:
+        if isinstance(x, str):
+            return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "null" if x is None else str(x).lower()
+
+    return spark.sql(f"select * from values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} as t({names})")
+
+
 def rows_out(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
