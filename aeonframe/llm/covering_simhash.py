@@ -188,16 +188,37 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return out.union(_linked(dealt.repartition("table", "key").sortWithinPartitions("table", "key"), radius, None).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links, itself included) of each row."""
-    spark = docs.sparkSession
-    made = materialize(spark, fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(spark, made.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+def _classes(made: DataFrame, radius: int) -> DataFrame:
+    """made (doc_id, tk, fp): fp and first, the least (null flag, doc_id, tk) reachable from it."""
+    spark = made.sparkSession
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk"))
+    nodes = materialize(spark, made.groupBy("fp").agg(least.alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), radius))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(spark, rooted.join(firsts, "root").select("fp", "component_id"), "classes")
-    return made.join(classes, "fp").select("doc_id", "fp", "component_id")
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return materialize(spark, rooted.join(firsts, "root").select("fp", "first"), "classes")
+
+
+def _made(docs: DataFrame, shingle: int) -> DataFrame:
+    keyed = docs.select("doc_id", "text", F.xxhash64(text_or_empty(docs)).alias("tk"))
+    return materialize(docs.sparkSession, fingerprints(keyed, shingle, ("doc_id", "tk")), "fingerprints")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links, itself included) of each row."""
+    made = _made(docs, shingle)
+    return made.join(_classes(made, radius), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row, all columns, of each component: that with the smallest doc_id (of rows with the same, one of them)."""
+    made = _made(docs, shingle)
+    firsts = _classes(made, radius).select(F.col("first.doc_id").alias("__id"), F.col("first.tk").alias("__tk")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty(docs)) == F.col("__tk"))
+    out = docs.join(firsts, same, "left_semi")
+    if made.groupBy("doc_id", "tk").count().where("count > 1").limit(1).count():  # rows that are alike
+        out = out.withColumn("__tk", F.xxhash64(text_or_empty(out))).dropDuplicates(["doc_id", "__tk"]).drop("__tk")
+    return out
 
 
 def hexed(fp) -> "Column":  # noqa: F821

@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -195,8 +196,10 @@ class TextEncoder:
 _DIGEST = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _pieces_of(bpe: PrefixBpe, pattern: str) -> WordPieces:
-    split = regex.compile(pattern)
+@lru_cache(maxsize=2)
+def _pieces_of(path: str, pattern: str) -> WordPieces:
+    """One for each Python worker: what its earlier tasks have encoded stays known."""
+    bpe, split = PrefixBpe(read_ranks(path)), regex.compile(pattern)
 
     def of_piece(matches: list[str]) -> list[tuple[int, str, bytes]]:
         every = [bpe.encode_piece(m.encode()) for m in matches]
@@ -220,7 +223,7 @@ def bpe_digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep
     narrow = df.select(*keep, text_or_empty(df, text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces_of(PrefixBpe(read_ranks(path)), pattern)
+        pieces = _pieces_of(path, pattern)
         for batch in batches:
             out: list[list] = [[], [], []]
             for value in batch.column(batch.num_columns - 1).to_pylist():
