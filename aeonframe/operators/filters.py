@@ -204,12 +204,12 @@ def decimal_compare(a: str, b: str) -> int:
     return (x > y) - (x < y)
 
 
-@F.pandas_udf("int")
-def decimal_compare_udf(a, b):
+def decimal_compare_column(a: Column, b: Column) -> Column:
     """decimal_compare for columns whose digits exceed DECIMAL(38)."""
     import pandas as pd
 
-    return pd.Series([None if x is None or y is None else decimal_compare(x, y) for x, y in zip(a, b)], dtype="Int32")
+    def compare(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None or v is None else decimal_compare(u, v) for u, v in zip(x, y)], dtype="Int32")
 
-
-decimal_compare_udf.func.__annotations__ = {}
+    compare.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}  # annotations are text in this module
+    return F.pandas_udf(compare, "int")(a, b)

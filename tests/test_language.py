@@ -77,6 +77,7 @@ def test_explain_and_plan_integrity(catalog):
 
 def test_filters_reach_the_scan(spark, catalog, tmp_path):
     catalog.records.write.parquet(str(tmp_path / "r"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     c = ql.Catalog(10, records=spark.read.parquet(str(tmp_path / "r")), properties=catalog.properties)
     plan = ql.run("FROM record:document AT VALID 9 KNOWN 5 PROJECT id", c)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(cursor,5)" in plan and "EqualTo(kind,document)" in plan
