@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import constraints, feed, filters, graph, integrity, routing, temporal, vector
+from ..operators import constraints, context, feed, filters, graph, integrity, routing, temporal, vector
 from ..sources import views
 from ..sources.views import DAY, table, with_
 from . import ql
@@ -34,7 +34,7 @@ def _register(sql: str | None = None):
 
 
 # -- the query language -------------------------------------------------------------------------------------
-def _catalog(spark: SparkSession, d: str) -> ql.Catalog:
+def tables(spark: SparkSession, d: str) -> ql.Catalog:
     order = {"status": ("string", True), "cents": ("unsigned", True), "priority": ("string", True)}
     event = {"k": ("unsigned", False), "cents": ("unsigned", True)}
     kinds = ("view", "purchase", "click", "signup", "error")
@@ -55,42 +55,42 @@ _AS_OF = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, pr
 SELECT 'record:order_state:' || id AS identity, id, cents, valid_from FROM snap WHERE status = 'F' ORDER BY identity LIMIT 500""")
 def ql_record_scan(spark, d):
     text = 'FROM record:order_state AT VALID $t KNOWN 12000 WHERE status = "F" PROJECT id, cents, valid_from LIMIT 500'
-    return ql.run(text, _catalog(spark, d), {"t": T_ORDER})
+    return ql.run(text, tables(spark, d), {"t": T_ORDER})
 
 
 @_register(f"""{with_("relations")}, snap AS ({_LATEST.format(log="rels", c=HEAD, t=T_ORDER)})
 SELECT 'relation:contains:' || id AS identity, from_id, to_id, CAST(line AS BIGINT) AS line FROM snap WHERE line = 3 ORDER BY identity LIMIT 2000""")
 def ql_relation_scan(spark, d):
-    return ql.run("FROM relation:contains AT VALID $t KNOWN HEAD WHERE line = 3 PROJECT from_id, to_id, line LIMIT 2000", _catalog(spark, d), {"t": T_ORDER})
+    return ql.run("FROM relation:contains AT VALID $t KNOWN HEAD WHERE line = 3 PROJECT from_id, to_id, line LIMIT 2000", tables(spark, d), {"t": T_ORDER})
 
 
 @_register(f"""{with_("events")} SELECT 'event:purchase:' || cursor AS identity, cursor, subject_id, cents FROM evs
 WHERE kind = 'purchase' AND at_ms <= {T} AND actor = 'agent2' ORDER BY identity LIMIT 1000""")
 def ql_event_scan(spark, d):
-    return ql.run('FROM event:purchase AT VALID $t KNOWN HEAD WHERE actor = "agent2" PROJECT cursor, subject_id, cents LIMIT 1000', _catalog(spark, d), {"t": T})
+    return ql.run('FROM event:purchase AT VALID $t KNOWN HEAD WHERE actor = "agent2" PROJECT cursor, subject_id, cents LIMIT 1000', tables(spark, d), {"t": T})
 
 
 @_register(f"""{with_("claims")}, now AS ({_AS_OF.format(src="(SELECT * FROM claims WHERE seq <= 8000 AND predicate = 'click')", t=T)})
 SELECT 'claim:' || subject || ':' || predicate AS identity, object, valid_from, tx_time FROM now ORDER BY identity LIMIT 10000""")
 def ql_claim_scan(spark, d):
-    return ql.run("FROM claim:click AT VALID $t KNOWN 8000 PROJECT object, valid_from, tx_time", _catalog(spark, d), {"t": T})
+    return ql.run("FROM claim:click AT VALID $t KNOWN 8000 PROJECT object, valid_from, tx_time", tables(spark, d), {"t": T})
 
 
 @_register(f"""{with_("records")}, snap AS ({_LATEST.format(log="recs", c=HEAD, t=T_ORDER)}) SELECT 'record:order_state:' || id AS identity, valid_to FROM snap WHERE valid_to IS NULL ORDER BY identity LIMIT 10000""")
 def ql_null_equality(spark, d):
-    return ql.run("FROM record:order_state AT VALID $t KNOWN HEAD WHERE valid_to = null PROJECT valid_to", _catalog(spark, d), {"t": T_ORDER})
+    return ql.run("FROM record:order_state AT VALID $t KNOWN HEAD WHERE valid_to = null PROJECT valid_to", tables(spark, d), {"t": T_ORDER})
 
 
 @_register()
 def ql_explain_contract(spark, d):
-    return ql.run("FROM record:order_state AT VALID 5 KNOWN 9 PROJECT * EXPLAIN CONTRACT", _catalog(spark, d))
+    return ql.run("FROM record:order_state AT VALID 5 KNOWN 9 PROJECT * EXPLAIN CONTRACT", tables(spark, d))
 
 
 @_register(f"""{with_("records")}, snap AS ({_LATEST.format(log="recs", c=HEAD, t=T_ORDER)}), top AS (SELECT 'record:order_state:' || id AS identity, id FROM snap ORDER BY identity LIMIT 700),
 sized AS (SELECT *, sum(strlen(identity) + strlen(id) + 23) OVER (ORDER BY identity ROWS UNBOUNDED PRECEDING) AS b, row_number() OVER (ORDER BY identity) AS rn FROM top)
 SELECT identity, CAST((rn - 1) // 256 AS INTEGER) AS batch, b <= 20000 AS kept FROM sized""")
 def ql_budget_batches(spark, d):
-    rows = ql.run("FROM record:order_state AT VALID $t KNOWN HEAD PROJECT id LIMIT 700", _catalog(spark, d), {"t": T_ORDER})
+    rows = ql.run("FROM record:order_state AT VALID $t KNOWN HEAD PROJECT id LIMIT 700", tables(spark, d), {"t": T_ORDER})
     return ql.budgeted(rows, 20_000).select("identity", "batch", "kept")
 
 
@@ -620,6 +620,42 @@ def route_budget(spark, d):
     return routing.route_budget(routing.route(terms, defs, imports, flat, "unit_07"), files, 200)
 
 
+# -- compositions -------------------------------------------------------------------------------------------
+@_register()
+def text_search(spark, d):
+    b = table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").cast("string").alias("id"), F.col("item_id").alias("source_cursor"), "text")
+    return context.text_search(context.embedded(b, 64), "the haonsh of and er", 64, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@_register(f"""{with_("vectors")}, seen AS ({_SEEN}) SELECT id, source_cursor FROM seen""")
+def vec_exact_segment(spark, d):
+    held, _ = context.segment(views.vectors(spark, d), graph.shared_folder(spark, "segment"), scope="main", cursor=HEAD, t=7000)
+    return held.select("id", "source_cursor")
+
+
+@_register(f"""{with_("claims")}, live AS ({_AS_OF.format(src="claims", t=_NOW)}),
+e AS (SELECT subject, predicate, min(valid_from) AS start FROM claims GROUP BY ALL)
+SELECT CASE WHEN l.subject IS NOT NULL THEN 'current' WHEN start > {_NOW} THEN 'never' ELSE 'expired' END AS state, count(*) AS n
+FROM e LEFT JOIN live l ON e.subject = l.subject AND e.predicate = l.predicate GROUP BY 1""")
+def preflight_freshness(spark, d):
+    return context.preflight(views.claims(spark, d), views.files(spark, d), _NOW, 500)["freshness"]
+
+
+@_register()
+def context_arms(spark, d):
+    prompts = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt"), F.concat(F.lit("about user"), (F.col("conv_id") % 30).cast("string")).alias("text"))
+    claims = views.claims(spark, d).withColumn("subject", F.replace("subject", F.lit(":"), F.lit("")))
+    return context.context_arms(claims, prompts, T, 200)
+
+
+@_register(f"""{with_("claims", "files")}, cur AS ({_CURRENT.format(src="claims")}) SELECT 'said' AS kind, actor AS a, subject AS b FROM cur
+UNION SELECT 'in', path, regexp_extract(path, '^(.*)/[^/]+$', 1) FROM fil""")
+def topology_edges(spark, d):
+    now = temporal.current_projection(views.claims(spark, d))
+    runs = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id")).distinct()
+    return context.topology(now, runs, views.files(spark, d))[1]
+
+
 # -- streaming ----------------------------------------------------------------------------------------------
 @_register(f"""{with_("claims")} SELECT subject, predicate, object, valid_from, seq FROM ({_CURRENT.format(src="claims")})""")
 def stream_projection(spark, d):
