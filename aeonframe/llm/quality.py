@@ -1,14 +1,18 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is the average of learned vectors of its hashed features: each token between white space, the character
-n-grams of the token with a begin and an end mark, and for two like tokens in a row the word bigram "the same again". A softmax over two classes reads that average; vectors and output
-weights are trained together by stochastic gradient descent in numpy, one document a step.
+n-grams of the token with a begin and an end mark, and for two like tokens in a row the word bigram "the same again". A
+softmax over two classes reads that average; vectors and output weights are trained together by stochastic gradient
+descent in numpy, one document a step.
 
 As the output is linear in the average, a trained model is kept as one number a feature (its part of the log odds)
 and a bias, so scoring a document is a mean of table entries. Scoring covers every whole text; training uses at most
 ``sample`` labelled documents of each class, chosen by a hash of their id (a parameter, so a run is repeatable).
 
-Defined results: a null text counts as empty, an empty text has no features and gets the bias alone; rows without a
+Each text also gets PRIOR features of the labels' overall log odds, so that a text of a word or two, which says little,
+is scored near the share of label 1.
+
+Defined results: a null text counts as empty, and an empty text gets that share; rows without a
 usable label are not trained on; several labels of a document count as the lowest; with labels of one class, or none,
 every score is that class's smoothed share. doc_id may be null or repeated: each row gets its own score.
 """
@@ -25,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import PieceCache, slices, small_batches, text_or_empty
+from ._shared import PieceCache, materialize, slices, small_batches, text_or_empty
 
 BUCKETS, GRAMS, WIDTH, EPOCHS, RATE, SAMPLE = 1 << 18, (2, 4), 12, 12, 0.6, 1200
+#: features at the prior that every text is given: what a word or two say is not much
+PRIOR = 24
 
 
 @dataclass
 class Model:
     odds: np.ndarray  # of float32, by feature
     bias: float
+    prior: float = 0.0  # the log odds of label 1 among all usable labels
 
 
 def features(token: str) -> list[int]:
@@ -84,6 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     known = known.where(usable if usable is not None else F.lit(True)).groupBy("doc_id").agg(F.min("label").alias("label"))
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = materialize(spark, known, "labels")
     place = F.xxhash64("doc_id")
     picked = [r for c in (0, 1) for r in known.where(F.col("label") == c).orderBy(place, "doc_id").limit(sample).collect()]
     if not picked:
@@ -93,7 +101,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
     texts = docs.select("doc_id", text_or_empty(docs).alias("text")).join(F.broadcast(ids), "doc_id")
     texts = texts.select("label", F.xxhash64("doc_id", "text").alias("place"), "text")
     rows = _featurized(texts).orderBy("place").limit(2 * sample).collect()
-    return fit([(np.array(r["bucket"], np.int64), np.array(r["times"], np.float32), r["label"]) for r in rows])
+    model = fit([(np.array(r["bucket"], np.int64), np.array(r["times"], np.float32), r["label"]) for r in rows])
+    if model.odds.any():
+        share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
+        model.prior = float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)))
+    return model
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
@@ -132,7 +144,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     """The columns ``keep`` with score: how likely, of 0 to 1, the text has label 1."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared, bias = spark.sparkContext.broadcast(model.odds), model.bias  # 1 MB, whatever the corpus
+    shared, bias, prior = spark.sparkContext.broadcast(model.odds), model.bias, model.prior  # 1 MB, whatever the corpus
     narrow = docs.select(*keep, text_or_empty(docs).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +169,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
                         twice = again(tokens)
                         total += sum([x[0] for x in found]) + twice * same
                         n += sum([x[1] for x in found]) + twice
-                z = bias + (total / n if n else 0.0)
+                z = bias + (total + PRIOR * prior) / (n + PRIOR)
                 out.append(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*keep, "score"])
 
