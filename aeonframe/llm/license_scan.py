@@ -55,7 +55,7 @@ def words(text: Column) -> Column:
     lower() agrees with that on ASCII but for two letters beyond it that it maps into it; these are made another
     letter beyond ASCII first, which no template has.
     """
-    kept = F.replace(F.replace(text, F.lit("K"), F.lit("é")), F.lit("İ"), F.lit("é"))
+    kept = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u00e9")), F.lit("\u0130"), F.lit("\u00e9"))
     return F.array_remove(F.split(F.lower(kept), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 

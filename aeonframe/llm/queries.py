@@ -59,7 +59,8 @@ def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = table(spark, sf_dir, "pages").withColumn("day", url_lists.fetched_on(F.col("page_id")))
-    return url_lists.evaluate(captures, url_lists.entries(spark))
+    found = url_lists.evaluate(captures, url_lists.entries(spark))
+    return found.withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,6 @@ hit AS (SELECT DISTINCT c.page_id, c.url, c.day, s.pattern, s.category FROM caps
   AND (NOT contains(s.pattern, '/') OR starts_with(c.path, substr(s.pattern, strpos(s.pattern, '/'))))),
 best AS (SELECT page_id, url, day, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS c,
   max(ROW(length(pattern), CASE WHEN category = 'allow' THEN 1 ELSE 0 END, pattern, category)) AS top FROM hit GROUP BY ALL)
-SELECT caps.page_id, caps.host, caps.day AS fetched_on, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(c, '') AS categories,
+SELECT caps.page_id, caps.host, CAST(caps.day AS VARCHAR) AS fetched_on, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(c, '') AS categories,
   coalesce(top[3], '') AS rule, CASE WHEN top IS NULL THEN 'pass' WHEN top[4] = 'allow' THEN 'allow' ELSE 'block' END AS verdict
 FROM caps LEFT JOIN best ON caps.page_id = best.page_id AND caps.url = best.url AND caps.day = best.day"""
