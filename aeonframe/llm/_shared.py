@@ -134,8 +134,8 @@ class WordPieces:
     before each blank that follows a character other than white space, and the parts be handled alone.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list]):
-        self.cache = PieceCache(compute)
+    def __init__(self, compute: Callable[[list[str]], list], most: int = 300_000):
+        self.cache = PieceCache(compute, most)
 
     def parts(self, text: str) -> list[str]:
         words = text.split(" ")

@@ -36,11 +36,18 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        #: by the last three bytes of a prefix, the length of the longest token with that end
-        self._reach: dict[bytes, int] = {}
-        for token in ranks:
-            if len(token) > 2 and len(token) > self._reach.get(token[-3:], 0):
-                self._reach[token[-3:]] = len(token)
+        # a trie over the tokens' bytes from last to first: node << 8 | byte to node, and the token that begins there
+        self._step: dict[int, int] = {}
+        self._here: list[int] = [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                node = self._step.get(key, 0)
+                if not node:
+                    node = self._step[key] = len(self._here)
+                    self._here.append(-1)
+            self._here[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fit: dict[int, bool] = {}
 
@@ -101,11 +108,16 @@ class PrefixBpe:
     # -- prefixes -------------------------------------------------------------------------------
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Fill ``last`` (one entry for each prefix of ``data`` done so far) up to the whole of ``data``."""
-        find, known, reach = self.ranks.get, self._fit.get, self._reach.get
+        step, here, known = self._step.get, self._here, self._fit.get
         for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(max(0, end - reach(data[end - 3 : end], 2)) if end > 3 else 0, end):
-                token = find(data[begin:end])
-                if token is None:
+            node, begin = 0, end
+            while begin:
+                begin -= 1
+                node = step(node << 8 | data[begin])
+                if node is None:
+                    raise ValueError("a byte that is no token")
+                token = here[node]
+                if token < 0:
                     continue
                 if begin:
                     valid = known(last[begin - 1] << 20 | token)
@@ -205,7 +217,7 @@ def _pieces_of(path: str, pattern: str) -> WordPieces:
         every = [bpe.encode_piece(m.encode()) for m in matches]
         return [(len(ids), ",".join(map(str, ids)), bpe.decode(ids)) for ids in every]
 
-    matches = PieceCache(of_piece, 60_000)
+    matches = PieceCache(of_piece, 100_000)
 
     def compute(parts: list[str]) -> list[tuple[int, str, bytes]]:
         out = []
@@ -247,13 +259,12 @@ def bpe_ids(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
     """df with a column ids (array of int): the ids of each text."""
     small_batches(df.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:
-        import pandas as pd
+    import pandas as pd
 
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = TextEncoder(PrefixBpe(read_ranks(path)), pattern)
         for s in parts:
             yield pd.Series([encoder.encode(t or "") for t in s])
 
-    encode.func.__annotations__.clear()
-    return df.withColumn("ids", encode(text_or_empty(df, text)))
+    encode.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}  # annotations are text in this module
+    return df.withColumn("ids", F.pandas_udf(encode, "array<int>")(text_or_empty(df, text)))
