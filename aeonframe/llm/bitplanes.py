@@ -22,6 +22,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,17 +109,43 @@ class Segment:
 
 
 # -- writing and reading ------------------------------------------------------------------------------------
+@lru_cache(maxsize=1)
 def _encoder(path: str) -> WordPieces:
+    """One for each Python worker: what its earlier tasks have encoded stays known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def compute(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    # how many bytes a token stands for: its string has a character for each
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        sizes[i] = len(token)
+
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    return WordPieces(compute)
+    def compute(parts: list[str]) -> list[bytes]:
+        """Parts that begin with a blank and end with another character are encoded as one text, then told apart."""
+        out: list = [None] * len(parts)
+        joint = [i for i, p in enumerate(parts) if p[0] == " " and not p[-1].isspace()]
+        if joint:
+            ids = ids_of("".join([parts[i] for i in joint]))
+            ends = np.cumsum(sizes[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(parts[i].encode()) for i in joint])) + 1
+            if int(cuts[-1]) != len(ids):
+                raise ValueError("the tokens don't add up to the text")
+            data, begin = ids.tobytes(), 0
+            for i, end in zip(joint, (4 * cuts).tolist()):
+                out[i], begin = data[begin:end], end
+        for i, p in enumerate(parts):
+            if out[i] is None:
+                out[i] = ids_of(p).tobytes()
+        return out
+
+    tokenizer.model._resize_cache(0)  # what comes here is new, or was forgotten: the cache is in front
+    return WordPieces(compute, 500_000)
 
 
 _TABLE = "shard int, segment int, begin long, n_ids long, n_docs int, data binary"
