@@ -257,6 +257,28 @@ def test_every_exact_repeat_is_found(spark):
     assert {r["doc_id"] for r in compact_windows.repeats(docs).collect()} == set(range(12, 48))
 
 
+def test_groups_of_near_copies(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line, texts = [word() for _ in range(20)], []
+    for size in (20, 100):
+        passage = [word() for _ in range(60)]
+        for k in range(size):
+            own = list(passage)
+            if k != size // 3:
+                own[rng.randrange(60)] = word()
+            texts.append([*[word() for _ in range(30)], *own, *[word() for _ in range(30)]])
+    passage = [*[word() for _ in range(25)], *line, *[word() for _ in range(25)]]
+    for k in range(60):  # a frequent line, which in two documents lies in a shared passage
+        texts.append([word(), *(passage if k in (7, 50) else [*[word() for _ in range(25)], *line, *[word() for _ in range(25)]])])
+    hashed = [compact_windows.word_hashes(" ".join(t)) for t in texts]
+    groups = [range(20), range(20, 120), range(120, 180)]
+    want = {b for g in groups for b in g if any(compact_windows.verified(hashed[a], hashed[b]) for a in g if a < b)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"] for r in compact_windows.repeats(docs).collect()}
+    assert got <= want and 170 in got and len(got) >= 0.97 * len(want) and len(want) > 100
+
+
 # -- 4: decontamination -------------------------------------------------------------------------------------
 def test_decontamination_against_brute_force(spark, odd, empty):
     rng = random.Random(10)
