@@ -279,6 +279,17 @@ def test_groups_of_near_copies(spark):
     assert got <= want and 170 in got and len(got) >= 0.97 * len(want) and len(want) > 100
 
 
+def test_copies_in_different_partitions_keep_the_first_place(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 60)
+    x, y = f"{prose(rng, 60)} {passage}", f"{passage} {prose(rng, 60)}"
+    parts = [spark.createDataFrame([row], "doc_id long, text string") for row in ((5, x), (600, y), (900, x))]
+    docs = parts[0].union(parts[1]).union(parts[2])
+    assert {(r["doc_id"], r["source_doc_id"]) for r in compact_windows.repeats(docs).collect()} == {(600, 5), (900, 5)}
+    left = {r["doc_id"]: r["text"] for r in compact_windows.without_repeats(docs).collect()}
+    assert set(left) == {5, 600} and left[5] == x and passage not in left[600]
+
+
 # -- 4: decontamination -------------------------------------------------------------------------------------
 def test_decontamination_against_brute_force(spark, odd, empty):
     rng = random.Random(10)
