@@ -147,3 +147,14 @@ def test_validation_and_quantization(spark):
     assert [tuple(r) for r in df.select(vector.valid_sparse(F.col("s")), vector.valid_dense(F.col("v"), 2)).collect()] == [(True, True), (False, False)]
     q = df.select(vector.quantized(F.col("v")).alias("q")).first()["q"]
     assert q["codes"] == [64, -127]
+
+
+def test_the_registered_embedding_reads_whole_texts(spark, tmp_path):
+    from aeonframe.plans import catalog
+
+    rows = [(1, "word " * 60 + "tail"), (2, "short text")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: r["embedding"] for r in catalog.queries()["feature_hash_embed"](spark, str(tmp_path)).collect()}
+    want = spark.createDataFrame(rows, "item_id long, text string").select("item_id", vector.feature_hash(F.col("text"), 64).alias("v")).collect()
+    assert got == {r["item_id"]: [round(x, 6) for x in r["v"]] for r in want}
+    assert sum(x != 0 for x in got[1]) == 2
