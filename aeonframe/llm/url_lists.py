@@ -4,7 +4,8 @@ A list is a log of dated entries: on a day a pattern is added to a category, or
 validity intervals, one for each time an entry was in force, and captures are joined to the intervals as of the day
 they were fetched: the pattern must match, and the day lie in the interval. A pattern is a host with all hosts below
 it ("example.org"), or a URL prefix ("example.org/ads/"), so a capture's keys are the suffixes of its host and the
-prefixes of host and path. Decisions follow the most specific (longest) pattern in force; at equal length "allow" wins.
+prefixes of host and path: those that end in a slash, and those as long as a pattern of that host which does not
+("example.org/ads"). Decisions follow the most specific (longest) pattern in force; at equal length "allow" wins.
 
 The main path is DataFrame functions only. The list is broadcast only if counted at most BROADCAST rows; beyond that
 it is an ordinary join, where a host with a large share of the captures is split by Spark's skew handling.
@@ -64,12 +65,16 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
+
+
 def keys(url: Column) -> Column:
-    """Every pattern that would match: host suffixes, and for each suffix the prefixes of the path that end in a slash."""
+    """The patterns that would match and are a host or end in a slash: host suffixes, and for each suffix the prefixes of
+    the path that end in a slash."""
     labels = F.split(host(url), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    path = F.regexp_extract(url, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
-    parts = F.split(path, "/")
+    parts = F.split(path(url), "/")
     slashes = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
     prefixes = F.transform(slashes, lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
     long = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lower(p)))))
@@ -82,7 +87,17 @@ def evaluate(captures: DataFrame, log: DataFrame) -> DataFrame:
     if spans.limit(BROADCAST + 1).count() <= BROADCAST:
         spans = F.broadcast(spans)
     plain = captures.select("page_id", "url", "day")
-    spread = plain.where("day is not null").select("page_id", "url", "day", F.explode(keys(F.col("url"))).alias("pattern")).distinct()
+    dated = plain.where("day is not null").select("page_id", "url", "day", keys(F.col("url")).alias("keys"))
+    spread = dated.select("page_id", "url", "day", F.explode("keys").alias("pattern"))
+    # patterns with a path that do not end in a slash: for each host in them, the lengths of their paths
+    other = spans.where("contains(pattern, '/') and not endswith(pattern, '/')").select(F.substring_index("pattern", "/", 1).alias("key"), "pattern")
+    sizes = other.groupBy("key").agg(F.collect_set(F.length("pattern") - F.length("key")).alias("sizes"))
+    if other.limit(BROADCAST + 1).count() <= BROADCAST:
+        sizes = F.broadcast(sizes)
+    own = F.lower(path(F.col("url")))
+    hosts = spread.where("not contains(pattern, '/')").withColumnRenamed("pattern", "key").join(sizes, "key")
+    cut = hosts.select("page_id", "url", "day", "key", own.alias("own"), F.explode("sizes").alias("size")).where(F.col("size") <= F.length("own"))
+    spread = spread.union(cut.select("page_id", "url", "day", F.concat("key", F.expr("substring(own, 1, size)")))).distinct()
     active = spread.join(spans, "pattern").where((F.col("from_day") <= F.col("day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day"))))
     rank = F.struct(F.length("pattern"), (F.col("category") == "allow").cast("int"), F.col("pattern"), F.col("category"))
     found = active.groupBy(F.col("page_id").alias("__page"), F.col("url").alias("__url"), F.col("day").alias("__day")).agg(

@@ -30,6 +30,14 @@ def test_keys(spark):
     assert got == [{h + p for h in hosts for p in ("", "/", "/x/", "/x/y/")}, None, None, {"a.example", "example"}]
 
 
+def test_prefixes_that_end_anywhere(spark):
+    log = [("2024-01-01", "add", p, p) for p in ("a.example/ads", "a.example/x/page.html", "b.a.example/ad", "a.example/ads/1/2/3")]
+    urls = {1: "http://a.example/ads", 2: "http://a.example/adserver/1?q", 3: "http://c.a.example/x/Page.html#f", 4: "http://b.a.example/ads/", 5: "http://a.example/x/page", 6: "http://a.example"}
+    captures = spark.createDataFrame([(k, u, day(3)) for k, u in urls.items()], "page_id long, url string, day date")
+    got = {r["page_id"]: r["categories"] for r in url_lists.evaluate(captures, url_lists.entries(spark, log)).collect()}
+    assert got == {1: "a.example/ads", 2: "a.example/ads", 3: "a.example/x/page.html", 4: "a.example/ads,b.a.example/ad", 5: "", 6: ""}
+
+
 def test_evaluation_against_a_plain_model(spark):
     log = [("2024-01-02", "add", "a.example", "bad"), ("2024-01-06", "remove", "a.example", "bad"), ("2024-01-03", "add", "good.a.example", "allow"), ("2024-01-04", "add", "a.example/ads/", "ads"), ("2024-01-08", "add", "a.example", "worse")]
     urls = ["http://a.example/", "http://x.a.example/ads/1", "http://good.a.example/ads/", "http://nota.example/", "no url", None]
