@@ -9,7 +9,8 @@ Payload bytes are laid out as rows of 64 samples, each row a restart interval; p
 images, one after the other in one media value.
 
 Defined results: a null text counts as empty; an empty text is stored as 64 zero bytes; equal texts have equal media;
-a media value that is null, or no baseline JPEG, has a null thumbnail (``thumbnails``); an empty table an empty result.
+a media value that is null, or no baseline JPEG, or one with a scan for each component, has a null thumbnail
+(``thumbnails``); an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -324,9 +325,12 @@ def thumbnails_of(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]
 
 
 def hashes(grey: np.ndarray) -> tuple[str, str]:
-    """Average and difference hash of a thumbnail, 16 hex digits each."""
-    rows = np.arange(8) * grey.shape[0] // 8
-    small = grey[rows][:, np.arange(9) * grey.shape[1] // 9].astype(np.int64)
+    """Average and difference hash of the means of 8 x 9 cells of a thumbnail, 16 hex digits each."""
+    rows, across = np.arange(8) * grey.shape[0] // 8, np.arange(9) * grey.shape[1] // 9
+    sums = np.add.reduceat(np.add.reduceat(grey.astype(np.int64), rows, axis=0), across, axis=1)
+    high, wide = (np.maximum(1, np.diff(x, append=n)) for x, n in zip((rows, across), grey.shape))
+    # means as whole numbers, all times the same factor
+    small = sums * (np.lcm.reduce(high) // high)[:, None] * (np.lcm.reduce(wide) // wide)
     above = small[:, :8] * 64 > small[:, :8].sum()
     rising = small[:, 1:] > small[:, :-1]
     return tuple(np.packbits(x).tobytes().hex() for x in (above, rising))

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -365,6 +366,17 @@ def test_payloads_come_back(odd, empty):
     assert baseline_jpeg.media_features(baseline_jpeg.media_of_texts(empty)).count() == 0
 
 
+def test_hashes_average_whole_cells():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (3, 64), (8, 9), (30, 64), (100, 7)):
+        grey = rng.integers(0, 256, shape).astype(np.uint8)
+        cuts = [[(i * n // k, max(i * n // k + 1, (i + 1) * n // k)) for i in range(k)] for n, k in zip(shape, (8, 9))]
+        means = [[Fraction(int(grey[a:b, c:d].sum()), (b - a) * (d - c)) for c, d in cuts[1]] for a, b in cuts[0]]
+        mean = sum(sum(m[:8]) for m in means) / 64
+        bits = lambda rows: f"{int(''.join(str(int(x)) for r in rows for x in r), 2):016x}"
+        assert baseline_jpeg.hashes(grey) == (bits([[x > mean for x in m[:8]] for m in means]), bits([[y > x for x, y in zip(m, m[1:])] for m in means]))
+
+
 def test_several_images_and_any_bytes():
     rng = np.random.default_rng(2)
     payloads = [rng.integers(0, 256, 64 * n).astype(np.uint8).tobytes() for n in (1, 9, baseline_jpeg.ROWS + 3)]
