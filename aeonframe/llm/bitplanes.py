@@ -11,7 +11,8 @@ The index gives the place of any block, so a reader decodes only those it needs.
 Parquet table (shard, segment, begin, n_ids, n_docs, segment): Spark's committer makes a lost executor harmless,
 any file system will do, and a shard's segments are read in parallel.
 
-Defined results: a null text counts as empty and gets the end id alone; documents ascend by doc_id, null ids first,
+Defined results: a special token's string in a text is that token, as the library takes it unless told otherwise; a
+null text counts as empty and gets the end id alone; documents ascend by doc_id, null ids first,
 equal ids by a hash of the text (rows equal in both follow each other, as they may); an empty table writes no
 segment; a document of any length stays in one segment, which then is as long as the document.
 """
@@ -116,7 +117,6 @@ def _encoder(path: str) -> WordPieces:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     # how many bytes a token stands for: its string has a character for each
     sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)

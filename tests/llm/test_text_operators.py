@@ -39,7 +39,6 @@ def empty(spark):
 # -- 2: token files -----------------------------------------------------------------------------------------
 def expected_ids(rows):
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [2] for x in rows]
 
 
@@ -54,6 +53,13 @@ def test_token_files(odd, empty):
     assert bitplanes.token_files(empty, path).count() == 0
 
 
+def test_special_tokens_are_what_the_library_makes_of_them(spark):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", " <|endoftext|><|endoftext|>  a<|endoftext|>b ", "a <|endo ftext|>", "é <|endoftext|>\n <|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in bitplanes.token_files(docs, P.path("byte_bpe_50k.json")).collect()}
+    assert got == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(expected_ids(texts))} and got[0][0] == 5
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_segments(bits):
     rng = np.random.default_rng(1)
