@@ -5,12 +5,15 @@ Nothing outside this subpackage imports this module.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a fresh local one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="aeonframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -88,6 +93,63 @@ def slices(text: str, size: int = 1 << 18) -> Iterator[str]:
     yield text[begin:] if begin else text
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """State of a Python worker for the tasks of one stage; what another stage left in the worker is dropped."""
+    task = TaskContext.get()
+    stage = (task.stageId(), task.getLocalProperty("spark.app.id")) if task else None
+    if _KEPT.get("stage") != stage:
+        _KEPT.clear()
+        _KEPT["stage"] = stage
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def fresh_worker() -> None:
+    """Drop what other stages left in this Python worker."""
+    kept("", lambda: None)
+
+
+@contextmanager
+def no_cycles():
+    """Work that makes many objects and no cycles, without the collector's passes over all that is held."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def groups(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
+    """The texts in their order, in groups of about ``most`` characters: what is held at once is bounded."""
+    begin, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= most:
+            yield texts[begin : k + 1]
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class PieceCache:
     """Results of a pure function of short strings, in two generations of bounded size.
 
@@ -100,30 +162,22 @@ class PieceCache:
         self.old: dict = {}
 
     def get(self, pieces: list[str]) -> list:
-        young, old = self.young, self.old
-        out = list(map(young.get, pieces))
+        out = list(map(self.young.get, pieces))
         lacking = [i for i, v in enumerate(out) if v is None]
         if not lacking:
             return out
-        wanted: dict = {}
+        found = dict.fromkeys([pieces[i] for i in lacking])
+        if self.old:
+            found.update(zip(found, list(map(self.old.get, found))))
+        fresh = [k for k, v in found.items() if v is None]
+        found.update(zip(fresh, self.compute(fresh)))
         for i in lacking:
-            piece = pieces[i]
-            value = old.get(piece)
-            if value is None:
-                wanted[piece] = None
-            else:
-                out[i] = young[piece] = value
-        if wanted:
-            keys = list(wanted)
-            for piece, value in zip(keys, self.compute(keys)):
-                wanted[piece] = value
-                if len(piece) <= self.longest:
-                    young[piece] = value
-            for i in lacking:
-                if out[i] is None:
-                    out[i] = wanted[pieces[i]]
-        if len(young) > self.most:
-            self.old, self.young = young, {}
+            out[i] = found[pieces[i]]
+        for k in [k for k in fresh if len(k) > self.longest]:
+            del found[k]
+        self.young.update(found)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
         return out
 
 
@@ -156,6 +210,17 @@ class WordPieces:
         if held:
             yield held
 
+    def get_all(self, texts: list[str]) -> Iterator[Iterator[list]]:
+        """For each text the results of its pieces, slice by slice; what is new in short texts is computed together."""
+        cut = [self.parts(t) if len(t) <= 1 << 18 else None for t in texts]
+        found, at = self.cache.get([p for parts in cut if parts for p in parts]), 0
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                yield self.get(text)
+            else:
+                yield iter([found[at : at + len(parts)]])
+                at += len(parts)
+
     def get(self, text: str) -> Iterator[list]:
         for part in slices(text):
             pieces = self.parts(part)
