@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the average of learned vectors of its hashed features: each token between white space, the character
-n-grams of the token with a begin and an end mark, and for two like tokens in a row the word bigram "the same again". A
-softmax over two classes reads that average; vectors and output weights are trained together by stochastic gradient
+A text is the average of learned vectors of its hashed features: each token between white space, each two tokens in a
+row (word bigrams; for a token that follows itself also one feature common to all of these), and the character n-grams
+of a token with a begin and an end mark. A softmax over two classes reads that average; vectors and output weights are trained together by stochastic gradient
 descent in numpy, one document a step.
 
 As the output is linear in the average, a trained model is kept as one number a feature (its part of the log odds)
@@ -14,7 +14,8 @@ is scored near the share of label 1.
 
 Defined results: a null text counts as empty, and an empty text gets that share; rows without a
 usable label are not trained on; several labels of a document count as the lowest; with labels of one class, or none,
-every score is that class's smoothed share. doc_id may be null or repeated: each row gets its own score.
+every score is that class's smoothed share. doc_id may be null or repeated, and of any type that compares: each row gets
+its own score. Of columns to keep that are called score or predicted, the operator's own take the place.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import PieceCache, materialize, slices, small_batches, text_or_empty
+from ._shared import PieceCache, discard, fresh_worker, materialize, slices, small_batches, text_or_empty
 
 BUCKETS, GRAMS, WIDTH, EPOCHS, RATE, SAMPLE = 1 << 18, (2, 4), 12, 12, 0.6, 1200
 #: features at the prior that every text is given: what a word or two say is not much
@@ -43,19 +43,26 @@ class Model:
     prior: float = 0.0  # the log odds of label 1 among all usable labels
 
 
+def word_hash(token: str) -> int:
+    return zlib.crc32(("w " + token).encode("utf-8", "replace"))
+
+
 def features(token: str) -> list[int]:
     """The buckets of a token: itself, and its marked character n-grams."""
     marked, (short, long) = f"<{token}>", GRAMS
     grams = [marked[i : i + n] for n in range(short, long + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(("w " + token).encode("utf-8", "replace")) % BUCKETS, *[zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]]
+    return [word_hash(token) % BUCKETS, *[zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]]
 
 
-#: the bucket of the word bigram whose second word is its first
+#: the bucket of the bigrams whose second word is their first
 AGAIN = zlib.crc32(b"2 =") % BUCKETS
 
 
-def again(tokens: list[str]) -> int:
-    return sum(map(eq, tokens, tokens[1:]))
+def bigrams(hashes: np.ndarray) -> np.ndarray:
+    """The buckets of each two words in a row, of their hashes, and AGAIN for each word that follows itself."""
+    mixed = hashes[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hashes[1:].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    buckets = (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return np.concatenate([buckets, np.full(int((hashes[1:] == hashes[:-1]).sum()), AGAIN)])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,32 +70,39 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _featurized(docs: DataFrame) -> DataFrame:
-    """label, place (of the row in an order that is the same in each run), and the counted features of each text."""
+    """label, place (of the row in an order that is the same in each run), and the counted features of each text, as the
+    bytes of int32."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("label", pa.int32()), ("place", pa.int64()), ("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("label", pa.int32()), ("place", pa.int64()), ("bucket", pa.binary()), ("times", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceCache(lambda tokens: [features(t) for t in tokens], 20_000)
+        fresh_worker()
+        cache = PieceCache(lambda tokens: [(features(t), word_hash(t)) for t in tokens], 20_000)
         for batch in batches:
             buckets, times = [], []
             for text in batch.column(2).to_pylist():
                 counts = np.zeros(BUCKETS, np.int32)
+                before: list[int] = []
                 for part in slices(text):
-                    counts[AGAIN] += again(tokens := part.split())
-                    for row in cache.get(tokens):
+                    found = cache.get(part.split())
+                    for row, _ in found:
                         for b in row:
                             counts[b] += 1
-                buckets.append(np.flatnonzero(counts).astype(np.int32))
-                times.append(counts[buckets[-1]])
+                    hashes = before + [h for _, h in found]
+                    np.add.at(counts, bigrams(np.array(hashes, np.uint64)), 1)
+                    before = hashes[-1:]
+                found = np.flatnonzero(counts).astype(np.int32)
+                buckets.append(found.tobytes())
+                times.append(counts[found].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, schema.field(2).type), pa.array(times, schema.field(3).type)], schema=schema)
 
-    return docs.mapInArrow(run, "label int, place long, bucket array<int>, times array<int>")
+    return docs.mapInArrow(run, "label int, place long, bucket binary, times binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, sample: int = SAMPLE) -> Model:
     """Fit on labelled documents; ``usable`` (a condition on doc_id) says which labels may be looked at."""
-    spark = docs.sparkSession
-    known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    known = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     known = known.where(usable if usable is not None else F.lit(True)).groupBy("doc_id").agg(F.min("label").alias("label"))
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     known = materialize(spark, known, "labels")
@@ -97,12 +111,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
     if not picked:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     # at most 2 * sample rows of two numbers
-    ids = spark.createDataFrame([(r["doc_id"], r["label"]) for r in picked], "doc_id long, label int")
+    ids = spark.createDataFrame([(r["doc_id"], r["label"]) for r in picked], f"doc_id {kind.simpleString()}, label int")
     texts = docs.select("doc_id", text_or_empty(docs).alias("text")).join(F.broadcast(ids), "doc_id")
     texts = texts.select("label", F.xxhash64("doc_id", "text").alias("place"), "text")
     rows = _featurized(texts).orderBy("place").limit(2 * sample).collect()
-    model = fit([(np.array(r["bucket"], np.int64), np.array(r["times"], np.float32), r["label"]) for r in rows])
-    if model.odds.any():
+    model = fit([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["times"], np.int32), r["label"]) for r in rows])
+    if model.odds.any():  # else there is one class, whose share is the bias
         share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
         model.prior = float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)))
     return model
@@ -124,7 +138,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
             done += 1
             if not len(bucket):
                 continue
-            weight = times / times.sum()
+            weight = times / np.float32(times.sum())
             hidden = weight @ vectors[bucket]
             logits = out @ hidden + bias
             p = np.exp(logits - logits.max())
@@ -140,44 +154,64 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
     return Model(odds.astype(np.float32), float(bias[1] - bias[0]))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with score: how likely, of 0 to 1, the text has label 1."""
+def score_of(text: Column, model: Model, docs: DataFrame) -> Column:
+    """How likely, of 0 to 1, a text (not null) has label 1. Texts go to Python, once, and scores come back."""
+    import pandas as pd
+
     spark = docs.sparkSession
     small_batches(spark)
     shared, bias, prior = spark.sparkContext.broadcast(model.odds), model.bias, model.prior  # 1 MB, whatever the corpus
-    narrow = docs.select(*keep, text_or_empty(docs).alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fresh_worker()
         odds = shared.value
-        same = float(odds[AGAIN])
 
-        def compute(tokens: list[str]) -> list[tuple[float, int]]:
+        def compute(tokens: list[str]) -> list[tuple[float, int, int]]:
+            if not tokens:
+                return []
             found = [features(t) for t in tokens]
             flat = odds[np.fromiter((b for row in found for b in row), np.int64)]
             ends = np.cumsum([len(row) for row in found])
             sums = np.add.reduceat(flat.astype(np.float64), np.concatenate([[0], ends[:-1]]))
-            return list(zip(sums.tolist(), map(len, found)))
+            return list(zip(sums.tolist(), map(len, found), map(word_hash, tokens)))
 
-        cache = PieceCache(compute)
-        for batch in batches:
+        cache = PieceCache(compute, 100_000)
+        for texts in parts:
             out = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                total, n = 0.0, 0
+            for text in texts:
+                total, n, before = 0.0, 0, []
                 for part in slices(text):
-                    if tokens := part.split():
-                        found = cache.get(tokens)
-                        twice = again(tokens)
-                        total += sum([x[0] for x in found]) + twice * same
-                        n += sum([x[1] for x in found]) + twice
+                    found = cache.get(part.split())
+                    if not found:
+                        continue
+                    sums, sizes, hashes = zip(*found)
+                    pairs = bigrams(np.array([*before, *hashes], np.uint64))
+                    total += sum(sums) + float(odds[pairs].sum(dtype=np.float64))
+                    n += sum(sizes) + len(pairs)
+                    before = hashes[-1:]
                 z = bias + (total + PRIOR * prior) / (n + PRIOR)
                 out.append(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield pd.Series(out, dtype="float64")
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{kinds}score double")
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}  # annotations are text in this module
+    return F.pandas_udf(run, "double")(text)
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with score: how likely, of 0 to 1, the text has label 1."""
+    return docs.select(*[docs[c] for c in keep if c != "score"], score_of(text_or_empty(docs), model, docs).alias("score"))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    return train(docs, labels, usable=~held_out(F.col("doc_id")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), least: float = 0.7) -> DataFrame:
     """Train on labels outside the held-out fold and score every row of docs."""
-    model = train(docs, labels, usable=~held_out(F.col("doc_id")))
-    return score(docs, model, keep).withColumn("predicted", (F.col("score") >= least).cast("int"))
+    scored = score(docs, _fitted(docs, labels), tuple(c for c in keep if c != "predicted"))
+    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns, that classify() gives predicted = 1."""
+    return docs.where(score_of(text_or_empty(docs), _fitted(docs, labels), docs) >= least)

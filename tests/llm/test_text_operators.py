@@ -13,7 +13,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from aeonframe.llm import baseline_jpeg, bitplanes, compact_windows, covering_simhash, decontamination, license_scan, prefix_bpe, quality
+from aeonframe.llm import baseline_jpeg, bitplanes, compact_windows, covering_simhash, decontamination, license_scan, near_copies, prefix_bpe, quality
 from aeonframe.llm.components import components
 
 WORDS = "the of and to in a is that it was for on are as with his they at be this have from or one had by".split()
@@ -218,6 +218,56 @@ def test_components_of_long_chains_and_stars(spark):
     assert got == {**{k: 0 for k in range(1, 61)}, **{k: 1000 for k in range(1001, 1200)}}
 
 
+# -- the near-duplicate stage -------------------------------------------------------------------------------
+def jaccard(a, b):
+    x, y = (set(zip(*[t.lower().split()[k:] for k in range(5)])) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_tables_cover_every_pair_within_three_coordinates():
+    tables = near_copies.blocks()
+    assert len(tables) == 14 and all(len(t) == 4 for t in tables)
+    assert all(any(not set(t) & {a, b, c} for t in tables) for a in range(8) for b in range(a) for c in range(b))
+
+
+def test_near_copies_against_brute_force(spark, odd, empty):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 40, 150]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            own = list(base)
+            for _ in range(rng.randrange(1, 1 + max(1, len(base) // 30))):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += [texts[0].upper(), texts[3]]
+    good = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    first = {r["doc"]: r["first_doc"] for r in near_copies.classes(docs).collect()}
+    assert set(first) == set(range(len(texts)))
+    assert sum(first[a] == first[b] for a, b in good) >= 0.97 * len(good) > 20
+    root = list(range(len(texts)))
+    for a, b in sorted(good):
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if r == old else r for r in root]
+    assert all(root[k] == root[f] for k, f in first.items())  # nothing beyond what brute force connects
+    assert {r["doc_id"] for r in near_copies.representatives(docs).collect()} == set(first.values())
+    kept = near_copies.representatives(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
+    assert near_copies.representatives(empty).count() == 0 and near_copies.representatives(empty).columns == empty.columns
+
+
+def test_large_groups_are_compared_with_neighbours(monkeypatch):
+    monkeypatch.setattr(compact_windows, "IN_GROUP", 50)
+    rng = np.random.default_rng(4)
+    sketch = rng.integers(0, 1 << 62, (2, 200))
+    sketch[:, 120:] = sketch[:, 40:120] ^ (1 << rng.integers(0, 40, 80))
+    rows = np.concatenate([np.zeros((1, 200), np.int64), sketch, [np.arange(200)], [np.arange(200) + 7], np.zeros((1, 200), np.int64)]).astype(np.int64)
+    found = {tuple(x) for x in compact_windows._sources(rows, 2, 60, 42).T.tolist()}
+    assert sum((k - 80, k) in found for k in range(120, 200)) >= 78 and all(a < b for a, b in found)
+
+
 # -- 8: compact windows -------------------------------------------------------------------------------------
 def test_windows_against_the_definition():
     rng = random.Random(5)
@@ -286,6 +336,34 @@ def test_groups_of_near_copies(spark):
     assert got <= want and 170 in got and len(got) >= 0.97 * len(want) and len(want) > 100
 
 
+def test_recall_of_changed_passages(spark):
+    """Pairs of passages with changed words: what brute force verifies is found for nine of ten at least."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(120):
+        n = rng.randrange(60, 201)
+        passage = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        own = list(passage)
+        for k in rng.sample(range(8, n - 8), max(1, n // 60)):
+            own[k] = f"x{rng.randrange(10**6)}"
+        for p in (passage, own):
+            texts.append([*[f"y{rng.randrange(10**6)}" for _ in range(30)], *p, *[f"z{rng.randrange(10**6)}" for _ in range(30)]])
+    hashed = [compact_windows.word_hashes(" ".join(t)) for t in texts]
+    want = {b for b in range(1, len(texts), 2) if compact_windows.verified(hashed[b - 1], hashed[b])}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in compact_windows.repeats(docs).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 90
+
+
+def test_copies_do_not_multiply_the_work(spark):
+    rng = random.Random(33)
+    passage = prose(rng, 70)
+    texts = [f"{prose(rng, 40)} {passage} {prose(rng, 40)}" for _ in range(6)]
+    rows = lambda n: spark.createDataFrame([(k, t) for k, t in enumerate(texts * n)], "doc_id long, text string").repartition(4)
+    few, many = (compact_windows.passages(rows(n)).count() for n in (1, 20))
+    assert few == many and compact_windows.repeats(rows(20)).count() == few + 6 * 19
+
+
 def test_copies_in_different_partitions_keep_the_first_place(spark):
     rng = random.Random(13)
     passage = prose(rng, 60)
