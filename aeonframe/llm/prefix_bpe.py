@@ -15,14 +15,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import PieceCache, WordPieces, rows_out, small_batches, text_or_empty
+from ._shared import PieceCache, WordPieces, groups, kept, no_cycles, rows_out, small_batches, text_or_empty
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,26 +29,75 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+#: bytes of a piece's head, whose last tokens are remembered
+HEAD = 6
+
+
 class PrefixBpe:
     """Ranks of a byte-level BPE vocabulary, and the validity of neighbouring tokens derived from them."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        # a trie over the tokens' bytes from last to first: node << 8 | byte to node, and the token that begins there
-        self._step: dict[int, int] = {}
-        self._here: list[int] = [-1]
-        for token, rank in ranks.items():
+        self._size = {rank: len(token) for rank, token in self.token.items()}
+        self._longest = max(map(len, ranks), default=0)
+        self._automaton()
+        self._heads: dict[bytes, tuple[list[int], int]] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._fit: dict[int, bool] = {}
+
+    def _automaton(self) -> None:
+        """Aho and Corasick's automaton over the tokens: from the state before a byte to the one after it, and for each
+        state the longest token that ends there; for each token the longest other one that ends with it."""
+        step: dict[int, int] = {}
+        owner, parents, level = [-1], [(0, 0)], [[0]]
+        for token, rank in self.ranks.items():
             node = 0
-            for byte in reversed(token):
+            for depth, byte in enumerate(token, 1):
                 key = node << 8 | byte
-                node = self._step.get(key, 0)
+                node = step.get(key, 0)
                 if not node:
-                    node = self._step[key] = len(self._here)
-                    self._here.append(-1)
-            self._here[node] = rank
-        self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fit: dict[int, bool] = {}
+                    node = step[key] = len(owner)
+                    owner.append(-1)
+                    parents.append((key >> 8, byte))
+                    if depth == len(level):
+                        level.append([])
+                    level[depth].append(node)
+            owner[node] = rank
+        fail, self._ends, self._suffix = [0] * len(owner), list(owner), dict.fromkeys(self.token, -1)
+        for nodes in level[1:]:
+            for node in nodes:
+                parent, byte = parents[node]
+                back = fail[parent]
+                while parent:
+                    found = step.get(back << 8 | byte)
+                    if found is not None:
+                        fail[node] = found
+                        break
+                    if not back:
+                        break
+                    back = fail[back]
+                behind = self._ends[fail[node]]
+                if owner[node] < 0:
+                    self._ends[node] = behind
+                else:
+                    self._suffix[owner[node]] = behind
+        self._step, self._fail, self._known = step, fail, {}
+
+    def _next(self, state: int, byte: int) -> int:
+        """The state after a byte; remembered."""
+        key, at = state << 8 | byte, state
+        found = self._step.get(key)
+        while found is None:
+            if not at:
+                found = 0
+                break
+            at = self._fail[at]
+            found = self._step.get(at << 8 | byte)
+        if len(self._known) > 200_000:
+            self._known.clear()
+        self._known[key] = found
+        return found
 
     # -- merges ---------------------------------------------------------------------------------
     def _merged(self, data: bytes, below: int) -> list[bytes]:
@@ -108,39 +156,59 @@ class PrefixBpe:
     # -- prefixes -------------------------------------------------------------------------------
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Fill ``last`` (one entry for each prefix of ``data`` done so far) up to the whole of ``data``."""
-        step, here, known = self._step.get, self._here, self._fit.get
-        for end in range(len(last) + 1, len(data) + 1):
-            node, begin = 0, end
-            while begin:
-                begin -= 1
-                node = step(node << 8 | data[begin])
-                if node is None:
-                    raise ValueError("a byte that is no token")
-                token = here[node]
-                if token < 0:
-                    continue
-                if begin:
-                    valid = known(last[begin - 1] << 20 | token)
-                    if valid is None:
-                        valid = self.fit(last[begin - 1], token)
-                else:
+        state, done = 0, len(last)
+        for byte in data[max(0, done - self._longest) : done]:
+            state = self._next(state, byte)
+        self._extend(data, last, state)
+        return last
+
+    def _extend(self, data: bytes, last: list[int], state: int) -> int:
+        """extend(), with the automaton's state before and after."""
+        after, ends, suffix, size, known = self._known.get, self._ends, self._suffix, self._size, self._fit.get
+        for end in range(len(last), len(data)):
+            byte = data[end]
+            to = after(state << 8 | byte)
+            state = self._next(state, byte) if to is None else to
+            token = ends[state]
+            while token >= 0:
+                before = end - size[token]
+                if before < 0:
                     valid = self.halves(token) != (-1, -1)
+                else:
+                    left = last[before]
+                    valid = known(left << 20 | token)
+                    if valid is None:
+                        valid = self.fit(left, token)
                 if valid:
                     last.append(token)
                     break
-        return last
+                token = suffix[token]
+            else:
+                raise ValueError("a byte that is no token")
+        return state
 
     def walk(self, data: bytes, last: list[int]) -> list[int]:
         ids, end = [], len(data)
         while end:
             ids.append(last[end - 1])
-            end -= len(self.token[ids[-1]])
+            end -= self._size[ids[-1]]
         ids.reverse()
         return ids
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.walk(data, self.extend(data, []))
+        if whole is not None:
+            return [whole]
+        head = data[:HEAD]  # many pieces begin alike: what their first prefixes end with is stored, and appended to
+        known = self._heads.get(head)
+        if known is None:
+            if len(self._heads) > 50_000:
+                self._heads.clear()
+            last: list[int] = []
+            known = self._heads[head] = (last, self._extend(head, last, 0))
+        last = known[0].copy()
+        self._extend(data, last, known[1])
+        return self.walk(data, last)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -208,25 +276,37 @@ class TextEncoder:
 _DIGEST = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-@lru_cache(maxsize=2)
+#: parts and matches that a worker remembers (twice as many at times; some 300 bytes each)
+PARTS, MATCHES = 300_000, 100_000
+
+
 def _pieces_of(path: str, pattern: str) -> WordPieces:
-    """One for each Python worker: what its earlier tasks have encoded stays known."""
     bpe, split = PrefixBpe(read_ranks(path)), regex.compile(pattern)
+    words = {rank: str(rank) for rank in bpe.token}
 
-    def of_piece(matches: list[str]) -> list[tuple[int, str, bytes]]:
-        every = [bpe.encode_piece(m.encode()) for m in matches]
-        return [(len(ids), ",".join(map(str, ids)), bpe.decode(ids)) for ids in every]
+    def of_matches(matches: list[str]) -> list[tuple[int, str, bytes]]:
+        out, encode, token, word = [], bpe.encode_piece, bpe.token.__getitem__, words.__getitem__
+        for m in matches:
+            ids = encode(m.encode())
+            out.append((len(ids), ",".join(map(word, ids)), b"".join(map(token, ids))))
+        return out
 
-    matches = PieceCache(of_piece, 100_000)
+    matches = PieceCache(of_matches, MATCHES)
 
     def compute(parts: list[str]) -> list[tuple[int, str, bytes]]:
-        out = []
-        for part in parts:
-            found = matches.get(split.findall(part))
-            out.append((sum([x[0] for x in found]), ",".join([x[1] for x in found]), b"".join([x[2] for x in found])) if len(found) > 1 else found[0])
+        # letters alone, but for a blank before them, are one match
+        cuts = [[p] if p.isascii() and (p[1:] if p[0] == " " else p).isalpha() else split.findall(p) for p in parts]
+        found, out, at = matches.get([m for cut in cuts for m in cut]), [], 0
+        for cut in cuts:
+            if len(cut) == 1:
+                out.append(found[at])
+            else:
+                n, ids, raw = zip(*found[at : at + len(cut)])
+                out.append((sum(n), ",".join(ids), b"".join(raw)))
+            at += len(cut)
         return out
 
-    return WordPieces(compute)
+    return WordPieces(compute, PARTS)
 
 
 def bpe_digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -235,19 +315,23 @@ def bpe_digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep
     narrow = df.select(*keep, text_or_empty(df, text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces_of(path, pattern)
+        pieces = kept((path, pattern), lambda: _pieces_of(path, pattern))
         for batch in batches:
             out: list[list] = [[], [], []]
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                n, ids, raw, began = 0, hashlib.sha256(), hashlib.sha256(), False
-                for found in pieces.get(value):
-                    n += sum([x[0] for x in found])
-                    ids.update((("," if began else "") + ",".join([x[1] for x in found])).encode())
-                    raw.update(b"".join([x[2] for x in found]))
-                    began = True
-                out[0].append(n)
-                out[1].append(ids.hexdigest())
-                out[2].append(raw.hexdigest())
+            with no_cycles():
+                for group in groups(batch.column(batch.num_columns - 1).to_pylist()):
+                    for many in pieces.get_all(group):
+                        n, ids, raw, began = 0, hashlib.sha256(), hashlib.sha256(), False
+                        for found in many:
+                            if found:
+                                counts, words, data = zip(*found)
+                                n += sum(counts)
+                                ids.update((("," if began else "") + ",".join(words)).encode())
+                                raw.update(b"".join(data))
+                                began = True
+                        out[0].append(n)
+                        out[1].append(ids.hexdigest())
+                        out[2].append(raw.hexdigest())
             made = rows_out(_DIGEST, out)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made.columns], names=[*keep, *_DIGEST.names])
 
