@@ -23,7 +23,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import WordPieces, fresh_path, small_batches, text_or_empty
+from ._shared import WordPieces, fresh_path, fresh_worker, groups, kept, no_cycles, small_batches, text_or_empty
 
 _HEAD = struct.Struct("<4sBIIII")
 _MAGIC = b"BPL1"
@@ -110,9 +109,7 @@ class Segment:
 
 
 # -- writing and reading ------------------------------------------------------------------------------------
-@lru_cache(maxsize=1)
 def _encoder(path: str) -> WordPieces:
-    """One for each Python worker: what its earlier tasks have encoded stays known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -160,7 +157,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, bits: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment, begin = TaskContext.get().partitionId(), 0, 0
-        pieces, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        pieces, end = kept(tokenizer, lambda: _encoder(tokenizer)), np.array([end_id], "<u4").tobytes()
         held: list[bytes] = []
         names: list = []
         lengths: list[int] = []
@@ -173,16 +170,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, bits: boo
 
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = b"".join([b"".join(found) for found in pieces.get(text)] + [end])
-                held.append(own)
-                names.append(doc)
-                lengths.append(len(own) // 4)
-                size += len(own) // 4
-                if size >= SEGMENT:
-                    yield flush()
-                    segment, begin, size = segment + 1, begin + size, 0
-                    held, names, lengths = [], [], []
+            docs, at = batch.column(0).to_pylist(), 0
+            for group in groups(batch.column(1).to_pylist()):
+                with no_cycles():
+                    encoded = [b"".join([*map(b"".join, found), end]) for found in pieces.get_all(group)]
+                for own in encoded:
+                    held.append(own)
+                    names.append(docs[at])
+                    lengths.append(len(own) // 4)
+                    size, at = size + len(own) // 4, at + 1
+                    if size >= SEGMENT:
+                        yield flush()
+                        segment, begin, size = segment + 1, begin + size, 0
+                        held, names, lengths = [], [], []
         if names:
             yield flush()
 
@@ -198,6 +198,7 @@ def read_ids(spark: SparkSession, path: str, digest_only: bool = False) -> DataF
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             for shard, begin, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 segment = Segment(data)
