@@ -18,19 +18,19 @@ def unique_overlaps(rows: DataFrame, group: list[str], identity: list[str]) -> D
     """rows with an equal value (``group``) and an overlapping window as another identity's: each row that one of the
     rows before it, in the order of starts, still overlaps.
 
-    A running maximum of ends finds them in one sorted pass, not by pairs: per identity merged away, the greatest end
-    of another identity before this row is either the greatest end so far or the greatest of the rest.
+    Sorted passes find them, not pairs: the latest end before a row belongs to its leader. If the leader is another
+    identity, that end decides; if it is the row's own, the latest end of the others does, which is the greatest of
+    the ends that led before each change of leader and of those that never led.
     """
-    end = F.coalesce("valid_to", F.lit(FOREVER))
-    order = W.partitionBy(*group).orderBy("valid_from", *identity).rowsBetween(W.unboundedPreceding, -1)
-    who = F.concat_ws("\u0001", *identity)
-    top = F.max(F.struct(end.alias("end"), who.alias("who"))).over(order)
-    mine = rows.withColumn("__top", top).withColumn("__who", who)
-    # the greatest end is this identity's own: look for the greatest end of any other
-    later = F.max(F.when(F.col("__who") != F.col("__leader"), F.col("__end"))).over(order)
-    led = mine.withColumn("__leader", F.col("__top.who")).withColumn("__end", end)
-    other = F.when(F.col("__leader") != F.col("__who"), F.col("__top.end")).otherwise(later)
-    return led.withColumn("__other", other).where(F.col("__other") > F.col("valid_from")).select(*rows.columns)
+    order = W.partitionBy(*group).orderBy("valid_from", *identity)
+    before, through = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    end = F.struct(F.coalesce("valid_to", F.lit(FOREVER)).alias("end"), F.concat_ws("\u0001", *identity).alias("who"))
+    led = rows.withColumn("__own", end).withColumn("__led", F.max("__own").over(before)).withColumn("__leads", F.max("__own").over(through))
+    change = ~F.col("__led.who").eqNullSafe(F.col("__leads.who"))
+    beaten = F.when(change, F.col("__led.end")).when(F.col("__own.who") != F.col("__leads.who"), F.col("__own.end"))
+    second = led.withColumn("__beaten", beaten).withColumn("__second", F.max("__beaten").over(before))
+    other = F.when(F.col("__led.who") != F.col("__own.who"), F.col("__led.end")).otherwise(F.col("__second"))
+    return second.where(other > F.col("valid_from")).select(*rows.columns)
 
 
 def max_overlap(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -79,10 +79,17 @@ def reachability(objects: DataFrame, references: DataFrame, present: DataFrame)
     return both.select("sha256", F.when(bad, "corrupt").when(F.col("used"), "reachable").otherwise("orphan").alias("state"))
 
 
-def quorum_violations(voters: DataFrame, zones: int = 2) -> DataFrame:
-    """voters (shard, node, zone): shards with an even number of voters, or with fewer zones than asked for."""
-    found = voters.groupBy("shard").agg(F.countDistinct("node").alias("n"), F.countDistinct("zone").alias("z"))
-    return found.where((F.col("n") % 2 == 0) | (F.col("z") < zones))
+def quorum_violations(replicas: DataFrame, voters: int = 3, zones: int = 2, per_zone: int = 2) -> DataFrame:
+    """replicas (shard, node, zone, and role if not all are voters): shards that break the placement policy, which asks
+    for an odd number of voters (three or more), so many zones at least and so many voters of a zone at most."""
+    if voters < 3 or voters % 2 == 0 or not 2 <= zones <= voters or per_zone < 1:
+        raise ValueError("a policy has an odd number of three voters or more, 2 zones or more, and a positive number a zone")
+    votes = F.col("role") == "voter" if "role" in replicas.columns else F.lit(True)
+    # a shard without a voter is one of the shards, too
+    by_zone = replicas.groupBy("shard", "zone").agg(F.count_if(votes).alias("here"))
+    found = by_zone.groupBy("shard").agg(F.sum("here").alias("n"), F.count_if(F.col("here") > 0).alias("z"), F.max("here").alias("most"))
+    twice = replicas.groupBy("shard").agg((F.count("*") > F.count_distinct("node")).alias("twice"))
+    return found.join(twice, "shard").where((F.col("n") != voters) | (F.col("z") < zones) | (F.col("most") > per_zone) | F.col("twice")).drop("most")
 
 
 def geo_valid(sw_lon: str, sw_lat: str, ne_lon: str, ne_lat: str):

@@ -1,11 +1,13 @@
 """The payload filter algebra: a tree of conditions on tagged properties, compiled to one column.
 
 Logic is two-valued: a condition on a missing property is false (but for ``exists``), and ``not`` of it true. Equality is
-of tag and value. Ranges compare numbers with numbers of any tag, and strings with strings; else they are false.
+of tag and value. Ranges compare integers (of either sign tag) with integers, decimals with decimals, digit for digit
+whatever their precision, and strings with strings; else they are false.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Decimal
@@ -144,20 +146,44 @@ class Range(Filter):
     def column(self, properties: str = "properties") -> Column:
         found, out = _get(properties, self.name), F.lit(True)
         for k, v in self._bounds():
-            if v.type in _NUMBERS:
-                ok = found["type"].isin(*_NUMBERS)
-                left, right = decimal_of(found["value"]), F.lit(Decimal(str(v.value))).cast("decimal(38,10)")
+            if v.type == "decimal":
+                order = F.when(found["type"] == "decimal", decimal_order(found["value"], str(v.value)))
+            elif v.type in _NUMBERS:
+                left, right = found["value"].try_cast("decimal(38,0)"), F.lit(Decimal(v.value)).cast("decimal(38,0)")
+                order = F.when(found["type"].isin("integer", "unsigned"), F.when(left > right, 1).when(left < right, -1).when(left == right, 0))
             else:
-                ok = found["type"] == v.type
                 left, right = found["value"], F.lit(v.text())
-            test = {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[k]
-            out = out & F.coalesce(ok & test, F.lit(False))
+                order = F.when(found["type"] == v.type, F.when(left > right, 1).when(left < right, -1).otherwise(0))
+            test = {"gt": order > 0, "gte": order >= 0, "lt": order < 0, "lte": order <= 0}[k]
+            out = out & F.coalesce(test, F.lit(False))
         return out
 
 
-def decimal_of(text: Column) -> Column:
-    """Decimal text, exponents included, as DECIMAL(38,10): what is beyond that is null and compares as false."""
-    return text.try_cast("decimal(38,10)")
+_DECIMAL = r"^([+-]?)(?=[.]?[0-9])([0-9]*)(?:[.]([0-9]*))?(?:[eE]([+-]?[0-9]{1,7}))?$"
+
+
+def decimal_order(text: Column, bound: str) -> Column:
+    """-1, 0 or 1 as decimal text lies under, at or over a bound, exactly; null where the text is no decimal.
+
+    A decimal is a sign, the place of its first digit that isn't zero, and the digits from there without zeros at the
+    end, which compare in this order (digits as text).
+    """
+    if not re.match(_DECIMAL, bound):
+        raise ValueError(f"no decimal: {bound}")
+    sign, whole, part, power = re.match(_DECIMAL, bound).groups()
+    digits = (whole + (part or "")).lstrip("0")
+    place = len(whole) - (len(whole + (part or "")) - len(digits)) + int(power or 0)
+    b_digits, b_sign = digits.rstrip("0"), (0 if not digits else -1 if sign == "-" else 1)
+
+    group = lambda k: F.regexp_extract(text, _DECIMAL, k)
+    every = F.concat(group(2), group(3))
+    bare = F.regexp_replace(every, "^0+", "")
+    own_place = F.length(group(2)) - (F.length(every) - F.length(bare)) + F.coalesce(group(4).try_cast("int"), F.lit(0))
+    own_digits = F.regexp_replace(bare, "0+$", "")
+    own_sign = F.when(bare == "", 0).when(group(1) == "-", -1).otherwise(1)
+    size = F.when(own_place > place, 1).when(own_place < place, -1).when(own_digits > b_digits, 1).when(own_digits < b_digits, -1).otherwise(0)
+    order = F.when(own_sign > b_sign, 1).when(own_sign < b_sign, -1).when(own_sign == 0, 0).otherwise(size * b_sign)
+    return F.when(text.rlike(_DECIMAL), order)
 
 
 @dataclass(frozen=True)

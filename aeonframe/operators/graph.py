@@ -22,18 +22,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="aeonframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/aeonframe-{name}-{uuid.uuid4().hex}"
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, so a loop's lineage doesn't grow."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by materialize()."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def latest(rows: DataFrame, t: int, cursor: int, keys: tuple[str, ...] = ("kind", "id")) -> DataFrame:
     """Of each identity the last version known by ``cursor`` that had begun by t, if its window holds t.
 
@@ -84,13 +94,13 @@ def bfs(edges: DataFrame, start: tuple[str, str], depth: int, kinds: tuple[str,
     steps = steps.select(F.struct("from_kind", "from_id").alias("a"), F.struct("to_kind", "to_id").alias("b"))
     if both_ways:
         steps = steps.union(steps.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    steps = _cut(steps.select(F.col("a.from_kind").alias("k"), F.col("a.from_id").alias("i"), F.col("b.to_kind").alias("kind"), F.col("b.to_id").alias("id")).distinct(), "steps") if depth > 1 else steps.select(F.col("a.from_kind").alias("k"), F.col("a.from_id").alias("i"), F.col("b.to_kind").alias("kind"), F.col("b.to_id").alias("id"))
+    steps = materialize(steps.select(F.col("a.from_kind").alias("k"), F.col("a.from_id").alias("i"), F.col("b.to_kind").alias("kind"), F.col("b.to_id").alias("id")).distinct(), "steps") if depth > 1 else steps.select(F.col("a.from_kind").alias("k"), F.col("a.from_id").alias("i"), F.col("b.to_kind").alias("kind"), F.col("b.to_id").alias("id"))
     frontier = spark.range(1).select(F.lit(start[0]).alias("kind"), F.lit(start[1]).alias("id"), F.lit(0).alias("depth"))
     visited = frontier
     for hop in range(1, depth + 1):
         reach = frontier.select(F.col("kind").alias("k"), F.col("id").alias("i")).join(steps, ["k", "i"]).select("kind", "id").distinct()
         frontier = reach.join(visited.select("kind", "id"), ["kind", "id"], "left_anti").withColumn("depth", F.lit(hop))
-        frontier = _cut(frontier, "frontier")
+        frontier = materialize(frontier, "frontier")
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
@@ -119,20 +129,23 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 30, damping: floa
     """nodes (id), edges (a, b, weight): ranks after exactly ``rounds`` rounds, divided by the largest.
 
     A node without weight out of it gives its rank to all alike. The edges are normalized once; each round is a join
-    on the edge's tail and a sum by its head, and every tenth round is written out to cut the lineage.
+    on the edge's tail and a sum by its head, and is written out; the round before it is deleted then.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     out = edges.groupBy("a").agg(F.sum("weight").alias("out"))
-    shares = _cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")).join(out, "a").where("out > 0").select("a", "b", (F.col("weight") / F.col("out")).alias("share")), "shares")
+    shares = materialize(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")).join(out, "a").where("out > 0").select("a", "b", (F.col("weight") / F.col("out")).alias("share")), "shares")
     dangling = nodes.join(out.where("out > 0").select(F.col("a").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("loose"))
-    ranks = _cut(nodes.join(dangling, "id", "left").select("id", F.coalesce("loose", F.lit(False)).alias("loose"), F.lit(1.0 / n).alias("rank")), "ranks")
+    ranks = materialize(nodes.join(dangling, "id", "left").select("id", F.coalesce("loose", F.lit(False)).alias("loose"), F.lit(1.0 / n).alias("rank")), "ranks")
     for k in range(1, rounds + 1):
         loose = ranks.where("loose").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first()["lost"]
         given = ranks.join(shares, ranks["id"] == shares["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         fixed = (1 - damping) / n + damping * loose / n
+        before = ranks
         ranks = ranks.drop("rank").join(given, "id", "left").select("id", "loose", (F.lit(fixed) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        ranks = _cut(ranks, "ranks")
+        done, ranks = before, materialize(ranks, "ranks")
+        discard(done)
+    discard(shares)
     top = ranks.agg(F.max("rank")).first()[0]
     return ranks.select("id", (F.col("rank") / top).alias("rank"))

@@ -7,7 +7,6 @@ import struct
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
@@ -57,14 +56,19 @@ def chain(bodies: Iterable[str], previous: str = GENESIS) -> list[tuple[str, str
 def chain_verify(log: DataFrame, partitions_by: str = "scope") -> DataFrame:
     """log (scope, cursor, body, previous_digest, digest): each row's gap, broken and forged flags, where any is set.
 
-    Verifying needs no order beyond each row's neighbour, so it runs in parallel over scopes.
+    A row needs no order beyond its neighbour, so it is joined with the row of the cursor before it: one long scope is
+    spread like many short ones. gap: no row has the cursor before it, or several rows have its own; broken: its previous
+    digest isn't that row's (whatever it is where there is none); forged: its digest isn't that of what it holds.
     """
-    order = W.partitionBy(partitions_by).orderBy("cursor")
-    first = F.row_number().over(order) == 1
+    scope = partitions_by
     made = F.sha2(F.concat_ws("|", "previous_digest", "body"), 256)
-    flags = log.withColumn("gap", F.when(first, F.col("cursor") != 1).otherwise(F.col("cursor") != F.lag("cursor").over(order) + 1))
-    flags = flags.withColumn("broken", F.col("previous_digest") != F.when(first, F.lit(GENESIS)).otherwise(F.lag("digest").over(order)))
-    return flags.withColumn("forged", F.col("digest") != made).where("gap or broken or forged").select(partitions_by, "cursor", "gap", "broken", "forged")
+    known = log.groupBy(scope, "cursor").agg(F.min("digest").alias("__own"), F.count("*").alias("__n"))
+    before = known.select(scope, (F.col("cursor") + 1).alias("cursor"), F.col("__own").alias("__before"))
+    both = log.join(known.select(scope, "cursor", "__n"), [scope, "cursor"]).join(before, [scope, "cursor"], "left")
+    first = F.col("cursor") == 1
+    flags = both.withColumn("gap", (~first & F.col("__before").isNull()) | (F.col("__n") > 1))
+    flags = flags.withColumn("broken", ~F.col("previous_digest").eqNullSafe(F.when(first, F.lit(GENESIS)).otherwise(F.col("__before"))))
+    return flags.withColumn("forged", F.col("digest") != made).where("gap or broken or forged").select(scope, "cursor", "gap", "broken", "forged")
 
 
 def set_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,21 +78,25 @@ def set_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # -- the reasoning state machine ----------------------------------------------------------------------------
-#: fixed values: state and payload to the next state; the payloads of a decision and an outcome carry their own word
+#: fixed values: state and payload to the next state. Decisions, verifications and outcomes carry their own word; after
+#: the colon of a state stands what the last verification said, which an outcome must agree with.
 TRANSITIONS = {
-    ("new", "goal"): "framed",
-    ("framed", "plan"): "planned",
-    ("planned", "attempt"): "attempting",
-    ("attempting", "observation"): "observed",
-    ("observed", "decision:retry"): "planned",
-    ("observed", "decision:replan"): "framed",
-    ("observed", "decision:verify"): "verifying",
-    ("observed", "decision:stop"): "deciding",
-    ("verifying", "verification:pass"): "verified",
-    ("verifying", "verification:fail"): "observed",
-    ("verified", "outcome:succeeded"): "complete",
-    ("deciding", "outcome:failed"): "complete",
-    ("deciding", "outcome:abandoned"): "complete",
+    ("empty", "goal"): "needs_plan",
+    ("needs_plan", "plan"): "needs_attempt",
+    ("needs_attempt", "attempt"): "needs_observation",
+    ("needs_observation", "observation"): "needs_decision",
+    ("needs_decision", "decision:continue"): "needs_attempt",
+    ("needs_decision", "decision:verify"): "needs_verification",
+    ("needs_decision", "decision:stop"): "needs_verification",
+    ("needs_verification", "verification:pass"): "needs_outcome",
+    ("needs_verification", "verification:fail"): "needs_post_verification_decision",
+    ("needs_post_verification_decision", "decision:continue"): "needs_attempt",
+    ("needs_post_verification_decision", "decision:stop"): "needs_outcome:failed",
+    ("needs_outcome", "outcome:succeeded"): "complete",
+    ("needs_outcome", "outcome:failed"): "complete",
+    ("needs_outcome", "outcome:blocked"): "complete",
+    ("needs_outcome:failed", "outcome:failed"): "complete",
+    ("needs_outcome:failed", "outcome:blocked"): "complete",
 }
 
 
@@ -99,7 +107,7 @@ def run_states(steps: DataFrame, transitions: dict | None = None) -> DataFrame:
     """
     table = transitions or TRANSITIONS
     rules = F.create_map(*[F.lit(x) for (s, p), to in table.items() for x in (f"{s}>{p}", to)])
-    start = F.struct(F.lit("new").alias("state"), F.lit(-1).cast("long").alias("bad"))
+    start = F.struct(F.lit("empty").alias("state"), F.lit(-1).cast("long").alias("bad"))
 
     def step(s, x):
         to = F.element_at(rules, F.concat(s["state"], F.lit(">"), x["payload"]))
@@ -107,7 +115,7 @@ def run_states(steps: DataFrame, transitions: dict | None = None) -> DataFrame:
         return F.struct(F.when(stuck, s["state"]).otherwise(to).alias("state"), F.when(s["bad"] >= 0, s["bad"]).when(to.isNull(), x["ordinal"].cast("long")).otherwise(s["bad"]).alias("bad"))
 
     folded = steps.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "payload"))).alias("all")).withColumn("end", F.aggregate("all", start, step))
-    return folded.select("run_id", F.size("all").cast("long").alias("n_steps"), F.col("end.state").alias("state"), F.when(F.col("end.bad") >= 0, F.col("end.bad")).alias("illegal_at"))
+    return folded.select("run_id", F.size("all").cast("long").alias("n_steps"), F.split_part(F.col("end.state"), F.lit(":"), F.lit(1)).alias("state"), F.when(F.col("end.bad") >= 0, F.col("end.bad")).alias("illegal_at"))
 
 
 def active_runs(states: DataFrame) -> DataFrame:
@@ -119,29 +127,59 @@ def exclusive(states: DataFrame) -> bool:
     return active_runs(states).limit(2).count() <= 1
 
 
-def tool_policy(state: Column, tool: Column) -> Column:
-    """Which tools a state lets through."""
+#: fixed values: tools that change a project, and the control verbs that are always let through
+MUTATING, CONTROL_VERBS = ("Edit", "Write", "NotebookEdit", "Bash"), ("reasoning", "reset-projection", "reset-routing", "ground")
+
+
+def control_command(command: Column, executable: str) -> Column:
+    """One direct call of the control program, never a shell program that begins with one."""
+    words = F.split(F.trim(command), r"\s+")
+    name = F.element_at(F.split(F.get(words, F.lit(0)), "/"), -1)
+    return F.coalesce(~command.rlike(r"[\n\r;|&><`$()]") & (name == executable) & F.get(words, F.lit(1)).isin(*CONTROL_VERBS), F.lit(False))
+
+
+def tool_policy(state: Column, tool: Column, command: Column, executable: str = "aeonframe") -> Column:
+    """read_only, control_plane, allow or deny, by the state of the active run (null: there is none)."""
     return (
-        F.when(tool.isin("read", "search"), "allow")
-        .when(state == "complete", "deny")
-        .when(tool.isin("edit", "run") & state.isin("attempting", "planned"), "allow")
-        .when(tool == "edit", "warn")
+        F.when(~F.coalesce(tool.isin(*MUTATING), F.lit(False)), "read_only")
+        .when((tool == "Bash") & control_command(command, executable), "control_plane")
+        .when(state == "needs_observation", "allow")
+        .when((state == "needs_verification") & (tool == "Bash"), "allow")
         .otherwise("deny")
     )
 
 
 # -- traces -------------------------------------------------------------------------------------------------
+#: fixed values: bytes of a name, links and attributes of a span, at most
+TRACE_NAME, TRACE_LINKS, TRACE_ATTRIBUTES = 160, 32, 64
+
+
 def trace_problems(spans: DataFrame) -> DataFrame:
-    """spans (trace_id, span_id, phase, duration_ms, outcome): a start has neither duration nor outcome, a finish has
-    both, an instant has no duration; ids are 32 and 16 lower-case hex digits and not all zero."""
+    """spans (trace_id, span_id, phase, duration, outcome, and if they are there parent_span_id, name, links, attributes).
+
+    A start has no duration and is running, an annotation has no duration, a finish has one and isn't running; ids are
+    32 and 16 lower-case hex digits and not all zero; no span is its own parent.
+    """
+    has = lambda c: c in spans.columns
     ids = F.col("trace_id").rlike("^(?!0{32})[0-9a-f]{32}$") & F.col("span_id").rlike("^(?!0{16})[0-9a-f]{16}$")
+    running = F.col("outcome").eqNullSafe(F.lit("running"))
+    lasts = F.col("duration").isNotNull()
+    no = F.lit(False)
+    named = (F.trim("name") == "") | F.col("name").isNull() | (F.octet_length("name") > TRACE_NAME) if has("name") else no
+    own = F.col("parent_span_id").eqNullSafe(F.col("span_id")) if has("parent_span_id") else no
+    many = (F.size("links") > TRACE_LINKS) if has("links") else no
+    wide = (F.size("attributes") > TRACE_ATTRIBUTES) if has("attributes") else no
     problem = (
-        F.when(~F.coalesce(ids, F.lit(False)), "id")
-        .when((F.col("phase") == "start") & (F.col("duration_ms").isNotNull() | F.col("outcome").isNotNull()), "start")
-        .when((F.col("phase") == "finish") & (F.col("duration_ms").isNull() | F.col("outcome").isNull()), "finish")
-        .when((F.col("phase") == "instant") & F.col("duration_ms").isNotNull(), "instant")
-        .when(~F.col("phase").isin("start", "finish", "instant"), "phase")
-        .when(F.col("duration_ms") < 0, "duration")
+        F.when(~F.coalesce(ids, no), "id")
+        .when(named, "name")
+        .when(own, "parent")
+        .when(~F.coalesce(F.col("phase").isin("start", "annotation", "finish"), no), "phase")
+        .when((F.col("phase") == "start") & (lasts | ~running), "start")
+        .when((F.col("phase") == "annotation") & lasts, "annotation")
+        .when((F.col("phase") == "finish") & (~lasts | running | F.col("outcome").isNull()), "finish")
+        .when(many, "links")
+        .when(wide, "attributes")
+        .when(F.col("duration") < 0, "duration")
     )
     return spans.withColumn("problem", problem).where("problem is not null")
 

@@ -147,16 +147,17 @@ def recall(claims: DataFrame, wanted: DataFrame, t: int, budget: int, predicates
 
 
 def subject_match(prompts: DataFrame, known: DataFrame) -> DataFrame:
-    """prompts (prompt, text), known (subject): the subjects that a prompt names as a word, case aside."""
-    words = prompts.select("prompt", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{Alnum}_-]+"))).alias("subject")).where("subject <> ''")
-    return words.join(known.select("subject").distinct(), "subject", "left_semi").select("prompt", "subject")
+    """prompts (prompt, text), known (subject): the subjects that a prompt names as a word (letters and digits of any
+    script, - and _), case aside."""
+    words = prompts.select("prompt", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{IsAlphabetic}\p{N}_-]+"))).alias("word")).where("word <> ''")
+    return words.join(known.select("subject", F.lower("subject").alias("word")).distinct(), "word").select("prompt", "subject").distinct()
 
 
-def verification_state(claims: DataFrame, now: int, days: int = 21) -> DataFrame:
-    """Each pair: current (in force now), expired with the days since, or never (its windows all lie ahead)."""
+def verification_state(claims: DataFrame, now: int) -> DataFrame:
+    """Each pair: current (in force now), expired with the days since its last window closed, or never (none has)."""
     live = as_of(claims, now).select(*PAIR, F.lit(True).alias("live"))
-    ended = claims.groupBy(*PAIR).agg(F.max(F.coalesce("valid_to", F.col("valid_from") + days * 86_400_000)).alias("until"), F.min("valid_from").alias("start"))
-    state = F.when(F.col("live"), "current").when(F.col("start") > now, "never").otherwise("expired")
+    ended = claims.groupBy(*PAIR).agg(F.max("valid_to").alias("until"))
+    state = F.when(F.col("live"), "current").when(F.col("until") <= now, "expired").otherwise("never")
     return ended.join(live, PAIR, "left").select(*PAIR, state.alias("state"), F.when(state == "expired", F.floor((F.lit(now) - F.col("until")) / 86_400_000)).cast("long").alias("days"))
 
 

@@ -71,12 +71,12 @@ def ql_event_scan(spark, d):
 
 
 @_register(f"""{with_("claims")}, now AS ({_AS_OF.format(src="(SELECT * FROM claims WHERE seq <= 8000 AND predicate = 'click')", t=T)})
-SELECT 'claim:' || subject || ':' || predicate AS identity, object, valid_from, tx_time FROM now ORDER BY identity LIMIT 10000""")
+SELECT 'claim:' || subject || ':' || predicate AS identity, object, valid_from, tx_time FROM now ORDER BY identity""")
 def ql_claim_scan(spark, d):
     return ql.run("FROM claim:click AT VALID $t KNOWN 8000 PROJECT object, valid_from, tx_time", tables(spark, d), {"t": T})
 
 
-@_register(f"""{with_("records")}, snap AS ({_LATEST.format(log="recs", c=HEAD, t=T_ORDER)}) SELECT 'record:order_state:' || id AS identity, valid_to FROM snap WHERE valid_to IS NULL ORDER BY identity LIMIT 10000""")
+@_register(f"""{with_("records")}, snap AS ({_LATEST.format(log="recs", c=HEAD, t=T_ORDER)}) SELECT 'record:order_state:' || id AS identity, valid_to FROM snap WHERE valid_to IS NULL ORDER BY identity""")
 def ql_null_equality(spark, d):
     return ql.run("FROM record:order_state AT VALID $t KNOWN HEAD WHERE valid_to = null PROJECT valid_to", tables(spark, d), {"t": T_ORDER})
 
@@ -186,13 +186,14 @@ def budget_fill(spark, d):
     return temporal.budget_fill(rows, ["g"], ["event_id"], "cost", 100).select("g", "event_id", "cost", "spent")
 
 
-@_register(f"""{with_("claims")}, prompts AS (SELECT conv_id * 1000 + turn AS prompt, 'Look at USER' || (conv_id % 30) || ' and ' || role || '; x' || turn AS text FROM conversations),
-words AS (SELECT DISTINCT prompt, unnest(string_split_regex(lower(text), '[^a-z0-9_-]+')) AS w FROM prompts)
-SELECT prompt, w AS subject FROM words WHERE w IN (SELECT DISTINCT replace(subject, ':', '') FROM claims)""")
+@_register(f"""{with_("claims")}, prompts AS (SELECT conv_id * 1000 + turn AS prompt, 'Look at USER' || (conv_id % 30) || ' and ' || role || '; \u00e9t\u00e9' || (turn % 3) AS text FROM conversations),
+words AS (SELECT DISTINCT prompt, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_-]+')) AS w FROM prompts),
+known AS (SELECT DISTINCT 'User' || substr(subject, 6) AS subject FROM claims UNION SELECT '\u00c9T\u00c91')
+SELECT DISTINCT prompt, subject FROM words JOIN known ON lower(subject) = w""")
 def subject_match(spark, d):
     c = table(spark, d, "conversations")
-    text = F.concat(F.lit("Look at USER"), (F.col("conv_id") % 30).cast("string"), F.lit(" and "), "role", F.lit("; x"), F.col("turn").cast("string"))
-    known = views.claims(spark, d).select(F.replace("subject", F.lit(":"), F.lit("")).alias("subject"))
+    text = F.concat(F.lit("Look at USER"), (F.col("conv_id") % 30).cast("string"), F.lit(" and "), "role", F.lit("; \u00e9t\u00e9"), (F.col("turn") % 3).cast("string"))
+    known = views.claims(spark, d).select(F.concat(F.lit("User"), F.substring("subject", 6, 100)).alias("subject")).union(spark.sql("select '\u00c9T\u00c91'"))
     return temporal.subject_match(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt"), text.alias("text")), known)
 
 
@@ -200,9 +201,9 @@ _NOW = T + 30 * DAY
 
 
 @_register(f"""{with_("claims")}, live AS ({_AS_OF.format(src="claims", t=_NOW)}),
-e AS (SELECT subject, predicate, max(coalesce(valid_to, valid_from + {21 * DAY})) AS until, min(valid_from) AS start FROM claims GROUP BY ALL)
-SELECT e.subject, e.predicate, CASE WHEN l.subject IS NOT NULL THEN 'current' WHEN start > {_NOW} THEN 'never' ELSE 'expired' END AS state,
-CASE WHEN l.subject IS NULL AND start <= {_NOW} THEN CAST(floor(({_NOW} - until) / {DAY}.0) AS BIGINT) END AS days
+e AS (SELECT subject, predicate, max(valid_to) AS until FROM claims GROUP BY ALL)
+SELECT e.subject, e.predicate, CASE WHEN l.subject IS NOT NULL THEN 'current' WHEN until <= {_NOW} THEN 'expired' ELSE 'never' END AS state,
+CASE WHEN l.subject IS NULL AND until <= {_NOW} THEN CAST(floor(({_NOW} - until) / {DAY}.0) AS BIGINT) END AS days
 FROM e LEFT JOIN live l ON e.subject = l.subject AND e.predicate = l.predicate""")
 def verification_ttl(spark, d):
     return temporal.verification_state(views.claims(spark, d), _NOW)
@@ -300,10 +301,10 @@ def dangling_refs(spark, d):
     return constraints.dangling(refs, known).select("id")
 
 
-@_register(f"""{with_("relations")}, w AS (SELECT *, coalesce(valid_to, {HEAD * 2 + 1}) AS e FROM rels WHERE CAST(to_id AS BIGINT) < 50)
+@_register(f"""{with_("relations")}, w AS (SELECT *, coalesce(valid_to, {HEAD * 2 + 1}) AS e FROM rels)
 SELECT DISTINCT b.id, b.to_id FROM w a JOIN w b ON a.to_id = b.to_id AND a.id <> b.id AND a.valid_from < b.e AND b.valid_from < a.e AND (a.valid_from, a.id) < (b.valid_from, b.id)""")
 def unique_overlap(spark, d):
-    rows = views.relations(spark, d).where(F.col("to_id").cast("long") < 50)
+    rows = views.relations(spark, d)
     return constraints.unique_overlaps(rows.select("id", "to_id", "valid_from", "valid_to"), ["to_id"], ["id"]).select("id", "to_id")
 
 
@@ -430,7 +431,10 @@ def vec_validation(spark, d):
     return e.agg(F.count("*").alias("n"), F.count_if(vector.valid_dense(F.col("embedding"), 64)).alias("right_size"))
 
 
-@_register()
+@_register(f"""{with_("vectors")}, seen AS ({_SEEN}),
+asked AS (SELECT q, list_transform(range(0, 64), lambda k: CAST((k * 37 + q * 11) % 19 - 9 AS DOUBLE) / 10) AS v FROM range(0, 16) t(q)),
+scored AS (SELECT q AS query, id, list_cosine_similarity(dense, v) AS s FROM seen, asked)
+SELECT query, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS place FROM scored QUALIFY place <= 10""")
 def vec_batch_topk(spark, d):
     queries = np.array([[((k * 37 + q * 11) % 19 - 9) / 10 for k in range(64)] for q in range(16)])
     return vector.score_many(vector.visible(views.vectors(spark, d), "main", HEAD, 7000), queries, 10).select("query", "id", F.round("score", 6).alias("score"), "place")
@@ -457,21 +461,34 @@ def changefeed_page(spark, d):
     return rows.select("cursor", "kind", "subject_id")
 
 
-@_register(f"""{with_("events")}, log AS (SELECT cursor, ['claim', 'vector', 'object', 'geo', 'record'][CAST(cursor % 5 + 1 AS INTEGER)] AS m FROM evs)
-SELECT sha256('main|' || f || '|' || cursor) AS work_id, f AS family, cursor AS source_cursor FROM (SELECT cursor, CASE WHEN m = 'record' THEN 'graph' ELSE m END AS f FROM log WHERE m <> 'claim') WHERE cursor > 100 ORDER BY cursor LIMIT 3000""")
+@_register(f"""{with_("events")}, log AS (SELECT cursor, ['claim', 'vector', 'object', 'geo', 'record', 'sample', 'relation'][CAST(cursor % 7 + 1 AS INTEGER)] AS m FROM evs)
+SELECT sha256('main|' || cursor || '|c' || (cursor // 10) || '|' || (cursor % 10) || '|' || f) AS work_id, f AS family, cursor AS source_cursor
+FROM (SELECT cursor, CASE m WHEN 'record' THEN 'scalar' WHEN 'relation' THEN 'graph' WHEN 'sample' THEN 'time_series' ELSE m END AS f FROM log WHERE m <> 'claim') WHERE cursor > 100 ORDER BY cursor LIMIT 3000""")
 def outbox_work(spark, d):
-    kinds = F.array(*map(F.lit, ("claim", "vector", "object", "geo", "record")))
-    log = views.events(spark, d).select("scope", "cursor", F.element_at(kinds, (F.col("cursor") % 5 + 1).cast("int")).alias("mutation"))
+    kinds = F.array(*map(F.lit, ("claim", "vector", "object", "geo", "record", "sample", "relation")))
+    commit = F.concat(F.lit("c"), F.floor(F.col("cursor") / 10).cast("string"))
+    log = views.events(spark, d).select("scope", "cursor", commit.alias("commit_id"), (F.col("cursor") % 10).alias("commit_ordinal"), F.element_at(kinds, (F.col("cursor") % 7 + 1).cast("int")).alias("mutation"))
     return feed.outbox_page(feed.outbox(log), 100, 3000).select("work_id", "family", "source_cursor")
 
 
-@_register(f"""{with_("events")} SELECT e.cursor, CASE WHEN kind = 'error' THEN 'failure' WHEN kind = 'purchase' AND cents >= 10000 THEN 'large_purchase' WHEN kind = 'purchase' THEN 'purchase' WHEN kind = 'signup' THEN 'lifecycle' ELSE 'activity' END AS class,
-CASE WHEN cursor % 3 = 0 THEN 'auditor' || (cursor % 4) END AS auditor FROM evs e WHERE cursor > (SELECT max(cursor) FROM evs) - 3000""")
+@_register(f"""{with_("events")} , e AS (SELECT cursor, ['event', 'record', 'relation', 'claim', 'vector', 'geo'][CAST(cursor % 6 + 1 AS INTEGER)] AS m, kind AS was, ['query', 'tool', 'storage', 'context', 'tools', 'other'][CAST(cursor % 11 % 6 + 1 AS INTEGER)] AS said FROM evs)
+SELECT e.cursor, CASE m WHEN 'claim' THEN CASE WHEN cursor % 4 = 0 THEN 'workflow' ELSE 'memory' END WHEN 'vector' THEN 'search' WHEN 'geo' THEN 'data'
+WHEN 'event' THEN CASE was WHEN 'error' THEN CASE said WHEN 'query' THEN 'routing' WHEN 'tool' THEN 'workflow' ELSE 'storage' END ELSE
+CASE said WHEN 'context' THEN 'routing' WHEN 'tools' THEN 'workflow' ELSE CASE was WHEN 'signup' THEN 'reasoning' WHEN 'click' THEN 'model' ELSE 'storage' END END END
+WHEN 'record' THEN CASE was WHEN 'signup' THEN 'reasoning' WHEN 'click' THEN 'model' ELSE 'storage' END ELSE CASE was WHEN 'signup' THEN 'reasoning' ELSE 'storage' END END AS class,
+CASE WHEN m = 'event' AND was = 'error' THEN 'trace_finish' ELSE m END AS operation,
+CASE WHEN cursor % 3 = 0 THEN 'auditor' || (cursor % 4) END AS auditor FROM e WHERE cursor > (SELECT max(cursor) FROM evs) - 3000""")
 def event_audit_classified(spark, d):
     events = views.events(spark, d).withColumn("commit_id", F.col("cursor"))
     head = events.agg(F.max("cursor")).first()[0] or 0
     audit = table(spark, d, "events").where("(event_id + 1) % 3 = 0").select((F.col("event_id") + 1).alias("commit_id"), F.concat(F.lit("auditor"), ((F.col("event_id") + 1) % 4).cast("string")).alias("auditor"))
-    return feed.temporal_events(events, audit, 3000, head).select("cursor", feed.classify(F.col("kind"), F.element_at("properties", F.lit("cents"))["value"].cast("long")).alias("class"), "auditor")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    said = views.tagged("string", pick(("query", "tool", "storage", "context", "tools", "other"), F.col("cursor") % 11 % 6))
+    kind = F.when(F.col("kind") == "error", "runtime_trace").when(F.col("kind") == "signup", "reasoning_step").when(F.col("kind") == "click", "prompt_flight_click").otherwise(F.col("kind"))
+    subject = F.concat(F.when(F.col("cursor") % 4 == 0, "package:").otherwise("user:"), "subject_id")
+    properties = F.create_map(F.lit("domain"), said, F.lit("stage"), said, F.lit("phase"), views.tagged("string", F.lit("finish")))
+    rows = feed.temporal_events(events, audit, 3000, head).withColumn("m", pick(("event", "record", "relation", "claim", "vector", "geo"), F.col("cursor") % 6))
+    return rows.withColumn("c", feed.classify(F.col("m"), kind, subject, properties)).select("cursor", "c.class", "c.operation", "auditor")
 
 
 _CHAIN = """log AS (SELECT 'u' || user_id AS scope, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS cursor, event_type || ':' || event_id AS body, event_id FROM events),
@@ -509,7 +526,13 @@ def trial_summary(spark, d):
     return feed.trial_summary(t)
 
 
-@_register()
+@_register("""WITH RECURSIVE rules(s, p, n) AS (VALUES ('empty', 0, 'needs_plan'), ('needs_plan', 1, 'needs_attempt'), ('needs_attempt', 2, 'needs_observation'), ('needs_observation', 3, 'needs_decision'),
+('needs_decision', 4, 'needs_verification'), ('needs_verification', 5, 'needs_outcome'), ('needs_outcome', 6, 'complete')),
+steps AS (SELECT conv_id, turn, least(turn, 6) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+run AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS rn, 'empty' AS s, CAST(NULL AS BIGINT) AS bad FROM conversations
+UNION ALL SELECT r.conv_id, r.rn + 1, CASE WHEN r.bad IS NULL THEN coalesce(q.n, r.s) ELSE r.s END, CASE WHEN r.bad IS NULL AND q.n IS NULL THEN t.turn ELSE r.bad END
+FROM run r JOIN steps t ON t.conv_id = r.conv_id AND t.rn = r.rn + 1 LEFT JOIN rules q ON q.s = r.s AND q.p = t.p)
+SELECT conv_id AS run_id, rn AS n_steps, s AS state, bad AS illegal_at FROM run QUALIFY rn = max(rn) OVER (PARTITION BY conv_id)""")
 def reasoning_state(spark, d):
     words = ("goal", "plan", "attempt", "observation", "decision:verify", "verification:pass", "outcome:succeeded")
     c = table(spark, d, "conversations")
@@ -517,7 +540,7 @@ def reasoning_state(spark, d):
     return integrity.run_states(c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ordinal"), payload.alias("payload")))
 
 
-@_register("""SELECT sha256(trim(text)) AS cohort, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1""")
+@_register("""SELECT sha256(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')) AS cohort, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1""")
 def prompt_cohorts(spark, d):
     return feed.prompt_cohorts(table(spark, d, "conversations").where("role = 'user'"))
 
@@ -566,9 +589,9 @@ def term_scan(spark, d):
     return routing.term_scan(routing.term_table(views.files(spark, d)), "License")
 
 
-@_register(f"""{with_("files")} SELECT path, CASE WHEN regexp_matches(s, '^[A-Za-z_][A-Za-z0-9_]*$') THEN s END AS entity FROM (SELECT path, regexp_extract(path, '([^/.]*)[.][^/]*$', 1) AS s FROM (SELECT replace(path, '/1', '/doc1') AS path FROM fil))""")
+@_register(f"""{with_("files")} SELECT path, CASE WHEN regexp_matches(s, '^[A-Za-z_][A-Za-z0-9_-]*$') THEN s END AS entity FROM (SELECT path, regexp_extract(path, '([^/.]*)[.][^/]*$', 1) AS s FROM (SELECT replace(replace(path, '/1', '/doc1'), '/2', '/my-doc2') AS path FROM fil))""")
 def module_entities(spark, d):
-    f = views.files(spark, d).select(F.replace("path", F.lit("/1"), F.lit("/doc1")).alias("path"))
+    f = views.files(spark, d).select(F.replace(F.replace("path", F.lit("/1"), F.lit("/doc1")), F.lit("/2"), F.lit("/my-doc2")).alias("path"))
     return f.select("path", routing.module_entity(F.col("path")).alias("entity"))
 
 
@@ -579,10 +602,10 @@ def refresh_counts(spark, d):
     return routing.refresh(docs.where("doc_id % 7 <> 0"), new)
 
 
-_COMMANDS = """CASE CAST(event_id % 6 AS INTEGER) WHEN 0 THEN 'npm install x' WHEN 1 THEN 'cargo add y' WHEN 2 THEN ' pip  uninstall z' WHEN 3 THEN 'ls -l' WHEN 4 THEN 'yarn upgrade' ELSE 'go build' END"""
+_COMMANDS = """CASE CAST(event_id % 9 AS INTEGER) WHEN 0 THEN 'npm install x' WHEN 1 THEN 'cargo add y' WHEN 2 THEN ' pnpm  run  Build:All' WHEN 3 THEN 'ls -l' WHEN 4 THEN 'yarn run --silent' WHEN 5 THEN 'npx' WHEN 6 THEN 'bunx @scope/tool' WHEN 7 THEN 'bun' ELSE 'npm Test' END"""
 
 
-@_register(f"""SELECT event_id, CASE CAST(event_id % 6 AS INTEGER) WHEN 0 THEN 'package:npm:add' WHEN 1 THEN 'package:cargo:add' WHEN 2 THEN 'package:pip:remove' WHEN 4 THEN 'package:yarn:update' END AS package FROM events""")
+@_register(f"""SELECT event_id, CASE CAST(event_id % 9 AS INTEGER) WHEN 0 THEN 'package:npm:install' WHEN 2 THEN 'package:pnpm:run:build-all' WHEN 4 THEN 'package:yarn:run' WHEN 5 THEN 'package:npm:exec:unknown' WHEN 6 THEN 'package:bun:exec:scope-tool' WHEN 8 THEN 'package:npm:test' END AS package FROM events""")
 def package_events(spark, d):
     return table(spark, d, "events").select("event_id", routing.package_event(F.expr(_COMMANDS)).alias("package"))
 
@@ -608,7 +631,7 @@ def _parts(spark, d):
 @_register()
 def route_ranked(spark, d):
     files, terms, defs, imports = _parts(spark, d)
-    rank = graph.pagerank(routing.reference_edges(terms, defs), files.select(F.col("path").alias("id")), 5)
+    rank = graph.pagerank(routing.reference_edges(terms, defs), files.select(F.col("path").alias("id")))
     return routing.route(terms, defs, imports, rank, "unit_07", 50).select("path", "score", F.round("rank", 9).alias("rank"))
 
 
@@ -633,8 +656,8 @@ def vec_exact_segment(spark, d):
 
 
 @_register(f"""{with_("claims")}, live AS ({_AS_OF.format(src="claims", t=_NOW)}),
-e AS (SELECT subject, predicate, min(valid_from) AS start FROM claims GROUP BY ALL)
-SELECT CASE WHEN l.subject IS NOT NULL THEN 'current' WHEN start > {_NOW} THEN 'never' ELSE 'expired' END AS state, count(*) AS n
+e AS (SELECT subject, predicate, max(valid_to) AS until FROM claims GROUP BY ALL)
+SELECT CASE WHEN l.subject IS NOT NULL THEN 'current' WHEN until <= {_NOW} THEN 'expired' ELSE 'never' END AS state, count(*) AS n
 FROM e LEFT JOIN live l ON e.subject = l.subject AND e.predicate = l.predicate GROUP BY 1""")
 def preflight_freshness(spark, d):
     return context.preflight(views.claims(spark, d), views.files(spark, d), _NOW, 500)["freshness"]

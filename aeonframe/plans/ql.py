@@ -324,8 +324,8 @@ def _cell(name: str, kind: str, built_in: bool) -> Column:
     return text.cast({"unsigned": "long", "integer": "long", "bool": "boolean"}.get(kind, "string"))
 
 
-def execute(b: Bound, catalog: Catalog, max_rows: int = MAX_ROWS) -> DataFrame:
-    """identity and the projected fields, in the order of identity."""
+def execute(b: Bound, catalog: Catalog) -> DataFrame:
+    """identity and the projected fields, in the order of identity: all rows, unless the query has a limit."""
     rows, identity = _source(b, catalog)
     for name, value in b.filters:
         kind, _, built_in = b.fields[name]
@@ -337,7 +337,25 @@ def execute(b: Bound, catalog: Catalog, max_rows: int = MAX_ROWS) -> DataFrame:
             rows = rows.where(F.coalesce((found["type"] == _type(value)) & found["value"].eqNullSafe(F.lit(text)), F.lit(False)))
     names = list(b.query.fields) if b.query.fields is not None else list(b.fields)
     out = rows.select(identity.alias("identity"), *[_cell(n, b.fields[n][0], b.fields[n][2]).alias(n) for n in dict.fromkeys(names)])
-    return out.orderBy("identity").limit(min(max_rows, b.query.limit or max_rows))
+    ordered = out.orderBy("identity")
+    return ordered if b.query.limit is None else ordered.limit(b.query.limit)
+
+
+@dataclass(frozen=True)
+class Answer:
+    """Rows within a budget, each with its batch, and whether the budget cut any."""
+
+    rows: DataFrame
+    truncated: bool
+
+
+def answer(b: Bound, catalog: Catalog, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Answer:
+    """execute() within a budget of rows and of bytes of JSON."""
+    from ..operators.graph import materialize
+
+    found = budgeted(execute(b, catalog).limit(max_rows + 1), max_bytes).withColumn("kept", F.col("kept") & (F.col("place") <= max_rows))
+    held = materialize(found, "answer")
+    return Answer(held.where("kept").drop("kept", "place", "bytes_so_far").orderBy("identity"), not held.where("not kept").isEmpty())
 
 
 def run(text: str, catalog: Catalog, params: dict[str, object] | None = None) -> DataFrame:
@@ -357,9 +375,9 @@ def verify_plan(plan: dict, digest: str) -> None:
 
 
 def budgeted(rows: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """A result of bounded rows cut where its JSON exceeds a size, with the batch (of 256) of each row and whether it was
-    cut. The running sum is over at most MAX_ROWS rows, so one task is enough."""
+    """A result of bounded rows with its place, its batch (of 256) and whether its JSON is within a size. The running sum
+    is over rows that a limit bounds, so one task is enough."""
     order = W.orderBy("identity")
     size = F.octet_length(F.to_json(F.struct(*rows.columns)))
-    sized = rows.withColumn("bytes_so_far", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("batch", F.floor((F.row_number().over(order) - 1) / BATCH).cast("int"))
+    sized = rows.withColumn("bytes_so_far", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order)).withColumn("batch", F.floor((F.col("place") - 1) / BATCH).cast("int"))
     return sized.withColumn("kept", F.col("bytes_so_far") <= max_bytes)

@@ -1,8 +1,10 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from aeonframe.operators import filters
 from aeonframe.plans import planner, ql
 
 TEXT = 'FROM record:document AT VALID 100 KNOWN HEAD WHERE status = "open" PROJECT id, status LIMIT 10 EXPLAIN CONTRACT'
@@ -102,6 +104,22 @@ def test_planner():
     assert planner.reshard_problems({"a"}, {"b"}, {"a"}, 1, 2) == [] and planner.reshard_problems({"a"}, {"a"}, set(), 2, 2) == ["epoch", "shards", "cutover"]
 
 
+def test_answers_say_what_was_cut(catalog):
+    b = ql.bind(ql.parse("FROM record:document AT VALID 9 KNOWN HEAD PROJECT id"), catalog)
+    n = ql.execute(b, catalog).count()
+    whole, cut, small = ql.answer(b, catalog), ql.answer(b, catalog, max_rows=n - 1), ql.answer(b, catalog, max_bytes=1)
+    assert n > 1 and (whole.rows.count(), whole.truncated) == (n, False) and (cut.rows.count(), cut.truncated) == (n - 1, True)
+    assert (small.rows.count(), small.truncated) == (0, True)
+
+
+def test_decimals_of_any_precision(spark):
+    values = [("decimal", "9007199254740993"), ("decimal", "1e-12"), ("decimal", "123456789012345678901234567890123"), ("decimal", "-0.001"), ("decimal", "1.20e2"), ("unsigned", "500"), ("decimal", "no"), ("decimal", "0.000")]
+    df = spark.createDataFrame([(k, {"x": v}) for k, v in enumerate(values)], "k int, properties map<string,struct<type:string,value:string>>")
+    found = lambda **b: {r["k"] for r in df.where(filters.Range("x", **b).column()).collect()}
+    assert found(gt=Decimal("0")) == {0, 1, 2, 4} and found(gt=Decimal("9007199254740992")) == {0, 2} and found(lt=Decimal("-0.0009")) == {3}
+    assert found(gte=Decimal("120"), lte=Decimal("120.0")) == {4} and found(gte=500) == {5} and found(lte=Decimal("0")) == {3, 7}
+
+
 def test_budget(spark):
     rows = spark.range(600).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("identity"))
     got = ql.budgeted(rows, 2000).collect()

@@ -95,6 +95,16 @@ def test_supersede_pairs_keeps_time_in_order(spark):
     assert got == {("wp3", "retire", "v3", 300, 400), ("wp3", "assert", "v4", 400, None), ("new", "assert", "x", 7, None)}
 
 
+def test_subjects_and_verification(spark):
+    prompts = spark.createDataFrame([(1, "what of ÉTÉ and wp-3, users?")], "prompt long, text string")
+    known = spark.createDataFrame([("été",), ("WP-3",), ("User",), ("wp",)], "subject string")
+    assert {r["subject"] for r in t.subject_match(prompts, known).collect()} == {"été", "WP-3"}
+    day = 86_400_000
+    rows = claims(spark, [("a", "p", "x", 0, 2 * day, 0), ("b", "p", "x", 9 * day, None, 0), ("c", "p", "x", 0, None, 0), ("d", "p", "x", 0, 90 * day, 0), ("e", "p", "x", 9 * day, 20 * day, 0)])
+    got = {r["subject"]: (r["state"], r["days"]) for r in t.verification_state(rows, 5 * day).collect()}
+    assert got == {"a": ("expired", 3), "b": ("never", None), "c": ("current", None), "d": ("current", None), "e": ("never", None)}
+
+
 def test_removal_report(spark):
     access = spark.createDataFrame([(5, "a", "wp3", "status"), (5, "b", "wp3", "status"), (99, "z", "wp3", "status"), (5, "a", "ghost", "p")], "at long, reader string, subject string, predicate string")
     got = {(r["subject"], r["predicate"]): (r["accesses"], r["last_reader"], r["candidate"]) for r in t.removal_report(claims(spark, CHAIN), access, 0, 10).collect()}
