@@ -21,15 +21,16 @@ its own score. Of columns to keep that are called score or predicted, the operat
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import PieceCache, discard, fresh_worker, materialize, slices, small_batches, text_or_empty
+from ._shared import fresh_worker, materialize, slices, small_batches, text_or_empty
 
 BUCKETS, GRAMS, WIDTH, EPOCHS, RATE, SAMPLE = 1 << 18, (2, 4), 12, 12, 0.6, 1200
 #: features at the prior that every text is given: what a word or two say is not much
@@ -54,15 +55,70 @@ def features(token: str) -> list[int]:
     return [word_hash(token) % BUCKETS, *[zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]]
 
 
+@cache
+def _crc_parts(size: int) -> np.ndarray:
+    """What each byte at each place adds to the CRC-32 of ``size`` bytes: that of zeros with all parts XORed to it, as
+    the checksum of strings of one length is affine in their bits."""
+    zero = zlib.crc32(bytes(size))
+    return np.array([[zlib.crc32(bytes(k) + bytes([b]) + bytes(size - 1 - k)) ^ zero for b in range(256)] for k in range(size)], np.uint32)
+
+
+def all_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' word hashes; and of what features() gives for each the buckets, and the tokens' places, in any order."""
+    words = np.fromiter(map(word_hash, tokens), np.uint64, len(tokens))
+    buckets, places = [(words % BUCKETS).astype(np.int64)], [np.arange(len(tokens))]
+    data = np.frombuffer("".join([f"<{t}>" for t in tokens]).encode("utf-8", "replace"), np.uint8)
+    starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of the characters
+    chars = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 2
+    place, left = np.repeat(places[0], chars), np.repeat(np.cumsum(chars), chars) - np.arange(len(starts) - 1)
+    for n in range(GRAMS[0], GRAMS[1] + 1):
+        at = np.flatnonzero(left >= n)
+        begin, size = starts[at], starts[at + n] - starts[at]
+        value = np.empty(len(at), np.uint32)
+        for m in np.flatnonzero(np.bincount(size)):
+            own = size == m
+            here, found = begin[own], np.full(int(own.sum()), zlib.crc32(bytes(m)), np.uint32)
+            for k, part in enumerate(_crc_parts(int(m))):
+                found ^= part[data[here + k]]
+            value[own] = found
+        buckets.append((value % BUCKETS).astype(np.int64))
+        places.append(place[at])
+    return words, np.concatenate(buckets), np.concatenate(places)
+
+
 #: the bucket of the bigrams whose second word is their first
 AGAIN = zlib.crc32(b"2 =") % BUCKETS
 
 
-def bigrams(hashes: np.ndarray) -> np.ndarray:
-    """The buckets of each two words in a row, of their hashes, and AGAIN for each word that follows itself."""
-    mixed = hashes[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hashes[1:].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    buckets = (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-    return np.concatenate([buckets, np.full(int((hashes[1:] == hashes[:-1]).sum()), AGAIN)])
+def bigrams(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each two words in a row, of their hashes, and AGAIN for each word that follows itself; with the
+    text of each. Words of different texts (``owner``) make no pair."""
+    both = owner[1:] == owner[:-1]
+    first, second, owner = hashes[:-1][both], hashes[1:][both], owner[1:][both]
+    mixed = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xD6E8FEB86659FD93)
+    buckets, again = (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), first == second
+    return np.concatenate([buckets, np.full(int(again.sum()), AGAIN)]), np.concatenate([owner, owner[again]])
+
+
+def _numbered(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The different words, and the place of each word among them."""
+    places = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    return list(places), np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+
+
+def _cut(texts: Iterable[str], most: int = 1 << 20) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The words of texts and the text of each, in groups of about ``most`` characters: what is held is bounded."""
+    words, owner, size = [], [], 0
+    for k, part in ((k, part) for k, text in enumerate(texts) for part in slices(text)):
+        found = part.split()
+        words += found
+        owner.append((k, len(found)))
+        size += len(part)
+        if size >= most and words:
+            yield words, np.repeat(*np.array(owner).T)
+            words, owner, size = [], [], 0
+    if words:
+        yield words, np.repeat(*np.array(owner).T)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,23 +133,20 @@ def _featurized(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        cache = PieceCache(lambda tokens: [(features(t), word_hash(t)) for t in tokens], 20_000)
         for batch in batches:
             buckets, times = [], []
             for text in batch.column(2).to_pylist():
-                counts = np.zeros(BUCKETS, np.int32)
-                before: list[int] = []
-                for part in slices(text):
-                    found = cache.get(part.split())
-                    for row, _ in found:
-                        for b in row:
-                            counts[b] += 1
-                    hashes = before + [h for _, h in found]
-                    np.add.at(counts, bigrams(np.array(hashes, np.uint64)), 1)
-                    before = hashes[-1:]
+                counts, before = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint64)
+                for words, _ in _cut([text]):
+                    tokens, place = _numbered(words)
+                    hashes, bucket, token = all_features(tokens)
+                    np.add.at(counts, bucket, np.bincount(place)[token])
+                    row = np.concatenate([before, hashes[place]])
+                    np.add.at(counts, bigrams(row, np.zeros(len(row), np.int64))[0], 1)
+                    before = row[-1:]
                 found = np.flatnonzero(counts).astype(np.int32)
                 buckets.append(found.tobytes())
-                times.append(counts[found].tobytes())
+                times.append(counts[found].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, schema.field(2).type), pa.array(times, schema.field(3).type)], schema=schema)
 
     return docs.mapInArrow(run, "label int, place long, bucket binary, times binary")
@@ -166,32 +219,19 @@ def score_of(text: Column, model: Model, docs: DataFrame) -> Column:
         fresh_worker()
         odds = shared.value
 
-        def compute(tokens: list[str]) -> list[tuple[float, int, int]]:
-            if not tokens:
-                return []
-            found = [features(t) for t in tokens]
-            flat = odds[np.fromiter((b for row in found for b in row), np.int64)]
-            ends = np.cumsum([len(row) for row in found])
-            sums = np.add.reduceat(flat.astype(np.float64), np.concatenate([[0], ends[:-1]]))
-            return list(zip(sums.tolist(), map(len, found), map(word_hash, tokens)))
-
-        cache = PieceCache(compute, 100_000)
         for texts in parts:
-            out = []
-            for text in texts:
-                total, n, before = 0.0, 0, []
-                for part in slices(text):
-                    found = cache.get(part.split())
-                    if not found:
-                        continue
-                    sums, sizes, hashes = zip(*found)
-                    pairs = bigrams(np.array([*before, *hashes], np.uint64))
-                    total += sum(sums) + float(odds[pairs].sum(dtype=np.float64))
-                    n += sum(sizes) + len(pairs)
-                    before = hashes[-1:]
-                z = bias + (total + PRIOR * prior) / (n + PRIOR)
-                out.append(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
-            yield pd.Series(out, dtype="float64")
+            total, n, before = np.zeros(len(texts)), np.zeros(len(texts)), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for words, owner in _cut(texts):
+                tokens, place = _numbered(words)
+                hashes, bucket, token = all_features(tokens)
+                sums, sizes = np.bincount(token, odds[bucket], len(tokens)), np.bincount(token, minlength=len(tokens))
+                row, owners = np.concatenate([before[0], hashes[place]]), np.concatenate([before[1], owner])
+                pairs, of = bigrams(row, owners)
+                total += np.bincount(owner, sums[place], len(texts)) + np.bincount(of, odds[pairs], len(texts))
+                n += np.bincount(owner, sizes[place], len(texts)) + np.bincount(of, minlength=len(texts))
+                before = row[-1:], owners[-1:]
+            z = bias + (total + PRIOR * prior) / (n + PRIOR)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))), dtype="float64")
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}  # annotations are text in this module
     return F.pandas_udf(run, "double")(text)

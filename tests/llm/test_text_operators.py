@@ -112,6 +112,35 @@ def test_edits_encode_as_the_whole(encoders):
 
 
 # -- 1: quality ---------------------------------------------------------------------------------------------
+
+def test_features_of_many_tokens_at_once():
+    tokens = ["a", "word", "\u00e9t\u00e9", "\u65e5\u672c\u8a9e", "\U0001f600x\U0001f600", "y" * 300, "\u0000", "<>"]
+    hashes, buckets, places = quality.all_features(tokens)
+    for k, token in enumerate(tokens):
+        assert sorted(buckets[places == k].tolist()) == sorted(quality.features(token))
+        assert hashes[k] == quality.word_hash(token)
+
+
+def test_classifier_scores_are_the_plain_sum_over_whole_texts(spark):
+    odds = np.random.default_rng(3).normal(0, 3, quality.BUCKETS).astype(np.float32)
+    texts = ["", " \t ", "a", "a a a b", "\u00e9t\u00e9 x", "one two " * 150_000, "z" * 300_000, None, "one  two\nthree"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.Model(odds, 0.3, -0.2)).collect()}
+    for k, text in enumerate(texts):
+        words = (text or "").split()
+        hashes = [quality.word_hash(w) for w in words]
+        total, n = 0.0, 0
+        for w in words:
+            own = quality.features(w)
+            total, n = total + sum(odds[own].tolist()), n + len(own)
+        for a, b in zip(hashes, hashes[1:]):
+            mixed = (a * 0x9E3779B97F4A7C15 + b * 0xD6E8FEB86659FD93) % 2**64 >> 46
+            own = [mixed, quality.AGAIN] if a == b else [mixed]
+            total, n = total + sum(odds[own].tolist()), n + len(own)
+        z = 0.3 + (total - 0.2 * quality.PRIOR) / (n + quality.PRIOR)
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-9, k
+
+
 def test_quality_learns_and_leaves_the_fold_alone(spark):
     rng = random.Random(8)
     rows, labels = [], []
