@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import small_batches, text_or_empty
+from ._shared import materialize, small_batches, text_or_empty
 
 COLUMNS, ROWS = 64, 4096
 #: bytes of payload that are encoded or decoded at once
@@ -372,6 +372,11 @@ def media_of_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return narrow.mapInArrow(run, f"{_kinds(df, keep)}n_bytes long, media binary")
 
 
+def stored(media: DataFrame) -> DataFrame:
+    """The media written as a table in the shared folder, and that table: what is read next comes from its files."""
+    return materialize(media.sparkSession, media, "media")
+
+
 def media_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """What the media column, read back, holds: payload digests, its own digest, and the thumbnails' feature."""
     small_batches(df.sparkSession)

@@ -39,9 +39,9 @@ def op6_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_baseline_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .baseline_jpeg import media_features, media_of_texts
+    from .baseline_jpeg import media_features, media_of_texts, stored
 
-    return media_features(media_of_texts(table(spark, sf_dir, "documents")))
+    return media_features(stored(media_of_texts(table(spark, sf_dir, "documents"))))
 
 
 def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:

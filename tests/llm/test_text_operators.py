@@ -469,14 +469,16 @@ def test_licenses_against_brute_force(spark, odd, empty):
 
 # -- 9: JPEG ------------------------------------------------------------------------------------------------
 def test_payloads_come_back(odd, empty):
-    got = baseline_jpeg.media_features(baseline_jpeg.media_of_texts(odd)).collect()
+    media = baseline_jpeg.stored(baseline_jpeg.media_of_texts(odd))
+    assert media.inputFiles()
+    got = baseline_jpeg.media_features(media).collect()
     want = collections.Counter()
     for r in odd.collect():
         plain = (r["text"] or "").encode()
         p = plain + bytes(-len(plain) % 64 or (0 if plain else 64))
         want[r["doc_id"], len(plain), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert collections.Counter(tuple(r)[:5] for r in got) == want
-    assert baseline_jpeg.media_features(baseline_jpeg.media_of_texts(empty)).count() == 0
+    assert baseline_jpeg.media_features(baseline_jpeg.stored(baseline_jpeg.media_of_texts(empty))).count() == 0
 
 
 def test_hashes_average_whole_cells():
