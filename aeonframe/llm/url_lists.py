@@ -10,7 +10,8 @@ prefixes of host and path: those that end in a slash, and those as long as a pat
 The main path is DataFrame functions only. The list is broadcast only if counted at most BROADCAST rows; beyond that
 it is an ordinary join, where a host with a large share of the captures is split by Spark's skew handling.
 
-Defined results: null or unparsable URLs have a null host, no keys and verdict "pass"; a null day matches nothing;
+Defined results: null or unparsable URLs have a null host, no keys and verdict "pass"; the host of a URL with an IPv6
+address is that address in its brackets, whole; a null day matches nothing;
 entries with a null day, pattern or category are ignored; an addition of what is in force, or a removal of what isn't,
 changes nothing; of entries with the same day, pattern and category the addition counts; repeated captures are
 repeated; an empty list passes everything.
@@ -61,7 +62,7 @@ def intervals(log: DataFrame) -> DataFrame:
 
 
 def host(url: Column) -> Column:
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)(?:[:/?#]|$)", 1))
     return F.when(found != "", found)
 
 
@@ -72,7 +73,7 @@ def path(url: Column) -> Column:
 def keys(url: Column) -> Column:
     """The patterns that would match and are a host or end in a slash: host suffixes, and for each suffix the prefixes of
     the path that end in a slash."""
-    labels = F.split(host(url), r"\.")
+    labels = F.when(host(url).startswith("["), F.array(host(url))).otherwise(F.split(host(url), r"\."))  # an address has no parts
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.split(path(url), "/")
     slashes = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
@@ -125,7 +126,7 @@ daily AS (SELECT pattern, category, day, max(CASE WHEN action = 'add' THEN 1 ELS
 turns AS (SELECT * FROM (SELECT *, coalesce(lag(lit) OVER (PARTITION BY pattern, category ORDER BY day), 0) AS was FROM daily) WHERE lit <> was),
 spans AS (SELECT * FROM (SELECT pattern, category, day AS from_day, lit, lead(day) OVER (PARTITION BY pattern, category ORDER BY day) AS to_day FROM turns) WHERE lit = 1),
 caps AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day,
-  nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+  nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[0-9A-Fa-f:.]+\\]|[^/?#:@\\[\\]]+)(?:[:/?#]|$)', 1)), '') AS host,
   lower(regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1)) AS path FROM pages),
 hit AS (SELECT DISTINCT c.page_id, c.url, c.day, s.pattern, s.category FROM caps c JOIN spans s
   ON s.from_day <= c.day AND (s.to_day IS NULL OR c.day < s.to_day)

@@ -30,6 +30,16 @@ def test_keys(spark):
     assert got == [{h + p for h in hosts for p in ("", "/", "/x/", "/x/y/")}, None, None, {"a.example", "example"}]
 
 
+def test_hosts_that_are_addresses(spark):
+    urls = ["http://[::1]/a", "http://u@[2001:DB8::1.2.3.4]:80?q", "http://[::1", "http://a]b/", "http://10.0.0.1/"]
+    df = spark.createDataFrame([(k, u, day(3)) for k, u in enumerate(urls)], "page_id long, url string, day date")
+    assert [r[0] for r in df.select(url_lists.host(F.col("url"))).collect()] == ["[::1]", "[2001:db8::1.2.3.4]", None, None, "10.0.0.1"]
+    assert set(df.select(url_lists.keys(F.col("url"))).first()[0]) == {"[::1]", "[::1]/"}
+    log = [("2024-01-01", "add", "[::1]", "x"), ("2024-01-01", "add", "[2001:db8::1.2.3.4]", "y")]
+    got = {r["page_id"]: r["categories"] for r in url_lists.evaluate(df, url_lists.entries(spark, log)).collect()}
+    assert got == {0: "x", 1: "y", 2: "", 3: "", 4: ""}
+
+
 def test_prefixes_that_end_anywhere(spark):
     log = [("2024-01-01", "add", p, p) for p in ("a.example/ads", "a.example/x/page.html", "b.a.example/ad", "a.example/ads/1/2/3")]
     urls = {1: "http://a.example/ads", 2: "http://a.example/adserver/1?q", 3: "http://c.a.example/x/Page.html#f", 4: "http://b.a.example/ads/", 5: "http://a.example/x/page", 6: "http://a.example"}
