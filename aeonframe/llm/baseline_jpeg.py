@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import materialize, small_batches, text_or_empty
+from ._shared import fresh_path, small_batches, text_or_empty
 
 COLUMNS, ROWS = 64, 4096
 #: bytes of payload that are encoded or decoded at once
@@ -373,8 +373,11 @@ def media_of_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
 
 def stored(media: DataFrame) -> DataFrame:
-    """The media written as a table in the shared folder, and that table: what is read next comes from its files."""
-    return materialize(media.sparkSession, media, "media")
+    """The media written as a table in the shared folder, and that table: what is read next comes from its files. Codes of
+    whole bits still repeat, so Parquet compresses them by zstandard."""
+    path = fresh_path(media.sparkSession, "media")
+    media.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "6").parquet(path)
+    return media.sparkSession.read.schema(media.schema).parquet(path)
 
 
 def media_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
