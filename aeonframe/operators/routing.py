@@ -94,6 +94,13 @@ def reference_edges(terms: DataFrame, definitions: DataFrame) -> DataFrame:
     return terms.join(names, "term").where("path <> b").groupBy(F.col("path").alias("a"), "b").agg(F.sum("lines").alias("weight"))
 
 
+def reference_sides(terms: DataFrame, definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """reference_edges by its two sides, whose product may be very large: (a, name, weight) and (name, b)."""
+    names = definitions.select(F.lower("name").alias("name"), F.col("path").alias("b")).distinct()
+    uses = terms.select(F.col("path").alias("a"), F.col("term").alias("name"), F.col("lines").alias("weight"))
+    return uses.join(names.select("name").distinct(), "name", "left_semi").select("a", "name", "weight"), names
+
+
 def _importers(imports: DataFrame, definers: DataFrame) -> DataFrame:
     """Paths that import a name which holds the stem of a defining file.
 

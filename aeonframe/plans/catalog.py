@@ -622,7 +622,7 @@ def _code(spark, d):
 
 def _parts(spark, d):
     files = _code(spark, d)
-    occ = routing.occurrences(files)
+    occ = graph.materialize(routing.occurrences(files), "occurrences")
     line = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     terms = line.select("path", "line", F.explode(F.array_distinct(F.split(F.lower("body"), r"[^\w]+"))).alias("term")).where(F.octet_length("term") >= 3).groupBy("path", "term").agg(F.count("*").alias("lines"))
     return files, terms, occ.where("role = 'definition'"), occ.where("role = 'import'")
@@ -631,7 +631,8 @@ def _parts(spark, d):
 @_register()
 def route_ranked(spark, d):
     files, terms, defs, imports = _parts(spark, d)
-    rank = graph.pagerank(routing.reference_edges(terms, defs), files.select(F.col("path").alias("id")))
+    uses, defines = routing.reference_sides(terms, defs)
+    rank = graph.pagerank_by_name(uses, defines, files.select(F.col("path").alias("id")))
     return routing.route(terms, defs, imports, rank, "unit_07", 50).select("path", "score", F.round("rank", 9).alias("rank"))
 
 

@@ -53,6 +53,22 @@ def test_pagerank_against_numpy(spark):
     assert all(abs(got[str(k)] - r[k] / r.max()) < 1e-9 for k in range(8))
 
 
+def test_pagerank_by_name_never_makes_the_edges(spark):
+    rng = random.Random(2)
+    uses = spark.createDataFrame(sorted({(f"f{rng.randrange(40)}", f"n{rng.randrange(6)}"): rng.randrange(1, 4) for _ in range(90)}.items()), "k struct<a:string,name:string>, weight int").select("k.*", "weight")
+    defines = spark.createDataFrame(sorted({(f"n{rng.randrange(7)}", f"f{rng.randrange(40)}") for _ in range(50)} | {("n6", "f0")}), "name string, b string")
+    uses = uses.union(spark.createDataFrame([("f0", "n6", 2), ("f1", "n6", 1)], "a string, name string, weight int"))
+    nodes = spark.createDataFrame([(f"f{k}",) for k in range(41)], "id string")
+    edges = uses.join(defines, "name").where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    want, got = ({r["id"]: r["rank"] for r in df.collect()} for df in (graph.pagerank(edges, nodes, 5), graph.pagerank_by_name(uses, defines, nodes, 5)))
+    assert set(want) == set(got) and len(got) == 41 and all(abs(got[k] - x) < 1e-12 for k, x in want.items())
+    # 3,000 files that use and define one name: nine million edges
+    files = spark.range(3000).select(F.col("id").cast("string").alias("id"))
+    ranks = graph.pagerank_by_name(files.select(F.col("id").alias("a"), F.lit("n").alias("name"), F.lit(1).alias("weight")), files.select(F.lit("n").alias("name"), F.col("id").alias("b")), files, 2)
+    assert ranks.where("abs(rank - 1) < 1e-9").count() == 3000
+    assert graph.pagerank_by_name(uses, defines, nodes.limit(0)).isEmpty()
+
+
 def test_overlaps_against_pairs(spark):
     rng = random.Random(7)
     rows = [(f"i{rng.randrange(12)}", f"g{rng.randrange(3)}", a := rng.randrange(30), rng.choice([None, a + 1 + rng.randrange(9)])) for _ in range(60)]
