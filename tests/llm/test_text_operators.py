@@ -316,6 +316,30 @@ def test_windows_against_the_definition():
         assert set(map(tuple, compact_windows.compact_windows(h, least).T.tolist())) == want
 
 
+def test_links_of_a_group_do_not_depend_on_its_size(monkeypatch):
+    """Nothing switches at IN_GROUP: each sketch is compared with all earlier ones, whatever block it falls in."""
+    rng = np.random.default_rng(8)
+    n = 300
+    sketch = rng.integers(-(1 << 62), 1 << 62, (2, n))
+    sketch[:, 250:] = sketch[:, :50]
+    sketch[0, 250:] ^= rng.integers(0, 1 << 9, 50) << 3  # a few fields apart, among many that lie between
+    text = np.arange(n) + 7
+    text[100:110] = text[90:100]
+    sketch[:, 105:110] = sketch[:, 95:100]  # a text's second place with a sketch
+    sketch[:, 60:65] = sketch[:, 95:100] ^ 1
+    rows = np.stack([np.zeros(n, np.int64), *sketch, np.arange(n), text, np.zeros(n, np.int64)]).astype(np.int64)
+    found = []
+    for size in (7, 64, 1 << 13):
+        monkeypatch.setattr(compact_windows, "IN_GROUP", size)
+        found.append({tuple(x) for x in compact_windows._sources(rows, 2, 60, 42).T.tolist()})
+    assert found[0] == found[1] == found[2]
+    apart = lambda a, b: sum((int(x) ^ int(y)) >> 2 * k & 3 != 0 for x, y in zip(sketch[:, a], sketch[:, b]) for k in range(32))
+    for b in range(n):
+        good = sorted((apart(a, b), a) for a in range(b) if text[a] != text[b] and apart(a, b) <= 22)
+        want = good[:1] if good and good[0][0] <= 4 else good[:2]
+        assert {a for a, c in found[0] if c == b} == {a for _, a in want}, b
+
+
 def test_repeats_and_their_removal(spark, odd, empty):
     rng = random.Random(6)
     passage, other = prose(rng, 60).split(), prose(rng, 80).split()
