@@ -340,6 +340,25 @@ def test_links_of_a_group_do_not_depend_on_its_size(monkeypatch):
         assert {a for a, c in found[0] if c == b} == {a for _, a in want}, b
 
 
+def test_windows_of_a_repetitive_text_are_one_row():
+    rng = random.Random(17)
+    texts = [f"{prose(rng, 60)} {'big apple ' * 300}{prose(rng, 60)}" for _ in range(30)]
+    docs = np.arange(30, dtype=np.int64)
+    rows = compact_windows._windows(docs, docs, texts)
+    assert rows.shape[1] < 30 * 120
+    batch = compact_windows._collapsed(rows)
+    rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+    rows = rows[:, np.lexsort((rows[5], rows[4], rows[3], rows[0]))]
+    first, low, high = compact_windows._ends(rows[5])
+    for k in range(1, 30):  # the whole stretch of 600 words is in the regions that are linked to earlier texts
+        pairs = [b for a, b in compact_windows._sources(rows).T.tolist() if rows[4, b] == k > rows[4, a]]
+        assert min(low[pairs]) <= 60 and max(high[pairs]) >= 60 + 600 - 5
+    # runs longer than a span's bits are cut
+    long = compact_windows._windows(docs[:1], docs[:1], ["big apple " * 40_000])
+    first, low, high = compact_windows._ends(long[5])
+    assert long.shape[1] < 400 and min(low) == 0 and max(high) >= 80_000 - 6 and (low <= first).all()
+
+
 def test_repeats_and_their_removal(spark, odd, empty):
     rng = random.Random(6)
     passage, other = prose(rng, 60).split(), prose(rng, 80).split()
