@@ -6,6 +6,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -297,6 +298,33 @@ def test_large_groups_are_compared_with_neighbours(monkeypatch):
     assert sum((k - 80, k) in found for k in range(120, 200)) >= 78 and all(a < b for a, b in found)
 
 
+def test_near_copies_beyond_the_best_of_a_bucket(spark):
+    """A text whose best partners by sketch fail is still compared with the rest of its buckets."""
+    rng, texts = random.Random(41), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for edits in [4] + [5] * 80 + [0]:
+            own = list(base)
+            for k in range(edits):
+                own[10 + 20 * k + rng.randrange(10)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "sha": [str(k) for k in range(len(texts))], "text": texts})
+    rows = pa.Table.from_batches(near_copies._sketches_of(iter([batch]))).to_pydict()
+    sketch = np.array([[0] * len(texts), rows["ahead"], rows["behind"]], np.int64)
+    buckets = collections.defaultdict(list)
+    for k, keys in enumerate(rows["keys"]):
+        for key in keys:
+            buckets[key].append(k)
+    tried = {(a, b) for g in buckets.values() for b in g for a in g if a < b and compact_windows._agreement(sketch, np.array([a]), np.array([b]))[0] >= near_copies.LEAST_AGREE}
+    root = list(range(len(texts)))
+    for a, b in sorted(tried):
+        if jaccard(texts[a], texts[b]) >= 0.8 and root[a] != root[b]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc"]: r["first_doc"] for r in near_copies.classes(docs).collect()} == dict(enumerate(root))
+
+
 # -- 8: compact windows -------------------------------------------------------------------------------------
 def test_windows_against_the_definition():
     rng = random.Random(5)
@@ -408,6 +436,28 @@ def test_groups_of_near_copies(spark):
     assert got <= want and 170 in got and len(got) >= 0.97 * len(want) and len(want) > 100
 
 
+def test_windows_beyond_the_best_of_a_group(spark):
+    """Windows whose best partners by sketch fail are still verified with the rest of their group."""
+    rng, texts = random.Random(43), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    some = lambda: [word() for _ in range(30)]
+    for _ in range(8):
+        passage = [word() for _ in range(60)]
+        texts.append([*some(), *passage[:30], word(), *passage[30:], *some()])
+        texts += [[*some(), *passage[8:53], *some()] for _ in range(30)]  # too short to be a passage
+        texts.append([*some(), *passage, *some()])
+    texts = [" ".join(t) for t in texts]
+    hashed = [compact_windows.word_hashes(t) for t in texts]
+    rows = compact_windows._windows(np.arange(len(texts)), np.arange(len(texts)), texts)
+    members = collections.defaultdict(set)
+    for group, text in zip(rows[0].tolist(), rows[4].tolist()):
+        members[group].add(text)
+    pairs = {(a, b) for g in members.values() for a in g for b in g if a < b}
+    want = {b for a, b in pairs if compact_windows.verified(hashed[a], hashed[b])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in compact_windows.repeats(docs).collect()} == want and len(want) >= 6
+
+
 def test_recall_of_changed_passages(spark):
     """Pairs of passages with changed words: what brute force verifies is found for nine of ten at least."""
     rng = random.Random(31)
