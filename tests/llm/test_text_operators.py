@@ -325,6 +325,28 @@ def test_near_copies_beyond_the_best_of_a_bucket(spark):
     assert {r["doc"]: r["first_doc"] for r in near_copies.classes(docs).collect()} == dict(enumerate(root))
 
 
+def test_a_bucket_leaves_its_rows_not_its_pairs():
+    """Of one bucket at most a row for each text and a link for each group that is joined come out; the groups are those of all pairs."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 32, 200, dtype=np.uint64).astype(np.uint32)) for _ in range(3)]
+    sets = [base[60 * (k // 2 % 3) :][: 60 + k // 6] for base in sets for k in range(60)]
+    n = len(sets)
+    rows = np.stack([np.zeros(n), np.zeros(n), np.zeros(n), np.arange(n), np.arange(n) + 500, np.arange(n) // 2 + 500]).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["gkey", "ahead", "behind", "doc", "tk", "root"])
+    assert sum(b.num_rows for b in near_copies._crossing(iter([batch.slice(0, 70), batch.slice(70)]))) <= n
+    links = list(near_copies.joining(rows, sets))
+    assert 0 < len(links) < len(set(rows[5].tolist()))
+
+    def classes(pairs):
+        root = rows[5].copy()
+        for a, b in pairs:
+            root[root == root[b]] = root[a]
+        return {frozenset(np.flatnonzero(root == r).tolist()) for r in set(root.tolist())}
+
+    alike = [(a, b) for b in range(n) for a in range(b) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))]
+    assert classes(links) == classes(alike) and 3 < len(classes(links)) < n // 2
+
+
 # -- 8: compact windows -------------------------------------------------------------------------------------
 def test_windows_against_the_definition():
     rng = random.Random(5)
