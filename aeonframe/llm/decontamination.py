@@ -7,7 +7,8 @@ bits of the items' blocks finds every pair within the radius. What it finds is v
 (multiset) Jaccard similarity of the shingles.
 
 A window that shares no shingle with an item has similarity zero, so windows are laid only where a document has an
-item's shingle: begin and length follow from the shingle's place in the item, cut at the ends of the document.
+item's shingle: begin and length follow from the shingle's place in the item, cut at the ends of the document. Only
+texts whose hash falls in the slot of a text with a window are shuffled to join their windows; the join itself is exact.
 
 The main path is DataFrame functions only. Tables made of the items are broadcast only if the items are at most
 BROADCAST; else they are ordinary joins.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 SHINGLE, LEAST, NEAR, BROADCAST = 5, 0.8, 3, 1000
+#: slots of texts' hashes, by which most texts without a window are left out before the join with the windows
+SLOTS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -87,7 +90,11 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = LEAST, shing
         found = placed.join(hint(anchors.where(F.col("k") == k)), "h").select("doc_id", "key", F.lit(k).alias("k"), begin.alias("begin"), end.alias("end"))
         windows = found if windows is None else windows.union(found)
     laid = windows.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("k", "begin", "end")).alias("laid"))
+    laid = materialize(spark, laid, "laid")
+    slot = lambda key: F.pmod(key, F.lit(SLOTS)).cast("int")
+    slots = laid.select(slot(F.col("__key")).alias("slot")).distinct()  # at most SLOTS numbers
     own = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
+    own = own.join(F.broadcast(slots), slot(F.col("key")) == F.col("slot"), "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))
     # one row for rows that are alike, and only the windows' words go on
     lit = own.join(laid, same).select("doc_id", "key", "laid", words(F.col("text")).alias("w"))

@@ -556,6 +556,32 @@ def test_decontamination_against_brute_force(spark, odd, empty):
     assert decontamination.contamination(empty, bench).count() == 0
 
 
+def test_texts_without_a_window_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(12)
+    item = prose(rng, 30)
+    rows = [(k, " ".join([prose(rng, 30), *([item] if k % 80 == 0 else [])])) for k in range(400)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept, written = decontamination.materialize, []
+
+    def records(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return records(plan.executedPlan())
+        inner = [plan.plan()] if "QueryStage" in plan.nodeName() else [plan.children().apply(k) for k in range(plan.children().size())]
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+        return own + sum(map(records, inner))
+
+    def spy(session, df, name):
+        if name == "windows":
+            df.collect()
+            written.append(records(df._jdf.queryExecution().executedPlan()))
+        return kept(session, df, name)
+
+    monkeypatch.setattr(decontamination, "materialize", spy)
+    got = decontamination.contamination(docs, bench).collect()
+    assert {r["doc_id"] for r in got} == {0, 80, 160, 240, 320}
+    assert len(written) == 1 and written[0] < 100
+
+
 def test_native_plans_have_no_python(spark, odd):
     bench = spark.sql("select 1L as item_id, 'a b c d e f' as text")
     docs = spark.sql("select 1L as doc_id, 'a b c d e f' as text")
