@@ -480,6 +480,53 @@ def test_windows_beyond_the_best_of_a_group(spark):
     assert {r["doc_id"] for r in compact_windows.repeats(docs).collect()} == want and len(want) >= 6
 
 
+def test_pairs_that_can_add_nothing_are_not_verified(monkeypatch):
+    """Of a group whose common passage is found, pairs that share a few words beyond it, too few for a passage, are passed over."""
+    rng, n, calls = np.random.default_rng(44), 40, []
+    fresh = lambda k: rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)
+    passage, line, junk = fresh(50), fresh(5), fresh(2)
+    words = [np.concatenate([passage, fresh(4), line, fresh(30)]) for _ in range(n)]
+    found = [np.arange(89) < 50 for _ in range(n)]
+    for name in ("alike_spans", "_spans"):
+        if hasattr(compact_windows, name):
+            was = getattr(compact_windows, name)
+            monkeypatch.setattr(compact_windows, name, lambda *x, was=was: calls.append(1) or was(*x))
+    assert list(compact_windows.settled(list(range(n)), words, found, [(20, 20)] * n)) == [] and len(calls) <= n
+    # a stretch that many texts have word by word is tried once, also where its words repeat
+    calls.clear()
+    words = [*[np.concatenate([np.tile(junk, 40), fresh(5)])] * n, np.concatenate([np.tile(junk, 20), fresh(50)])]
+    got = list(compact_windows.settled(list(range(n + 1)), words, [np.zeros(len(w), bool) for w in words], [(2, 2)] * (n + 1)))
+    assert {b for _, b, *_ in got} == set(range(1, n)) and len(calls) <= 4 * n
+
+
+def test_what_is_not_verified_holds_no_passage():
+    """Whatever pairs are passed over: each passage that holds the anchors of both stretches has no shared shingle left that is not found."""
+    rng, passages = np.random.default_rng(45), 0
+    for _ in range(60):
+        size = int(rng.choice([12, 60, 1 << 31]))
+        core = rng.integers(0, size, 60).astype(np.uint32)
+        words, anchors, found = [], [], []
+        for _ in range(12):
+            own, sides = core.copy(), [rng.integers(0, size, rng.integers(0, 40)).astype(np.uint32) for _ in range(2)]
+            places = rng.choice(np.r_[0:25, 35:60], rng.integers(0, 4), replace=False)
+            own[places] = rng.integers(0, size, len(places))
+            words.append(np.concatenate([sides[0], own, sides[1]]))
+            anchors.append((len(sides[0]) + 27,) * 2)
+            found.append((np.arange(len(words[-1])) < rng.integers(0, 80)) & (rng.random() < 0.5))
+        texts, seen = (np.arange(12) // 2 * 2 + rng.integers(0, 2, 12)).tolist(), [f.copy() for f in found]
+        for a, b, x0, x1, y0, y1, share in compact_windows.settled(texts, words, found, anchors):
+            assert a < b and texts[a] != texts[b] and share >= 0.8 and (x0, x1, y0, y1, share) in compact_windows.verified(*(words[k].astype(np.uint64) for k in (a, b)))
+            assert not seen[b][y0:y1].all()
+            seen[b][y0:y1] = True
+        for a, b in [(a, b) for b in range(12) for a in range(b) if texts[a] != texts[b]]:
+            s, t = (compact_windows.shingle_hashes(words[k].astype(np.uint64)) for k in (a, b))
+            for x0, x1, y0, y1, _ in compact_windows.alike_spans(s, t):
+                if x0 <= anchors[a][0] < x1 - 4 and y0 <= anchors[b][0] < y1 - 4:
+                    passages += 1
+                    assert all(seen[b][k : k + 5].all() for k in range(y0, y1 - 4) if t[k] in s[x0 : x1 - 4])
+    assert passages > 500
+
+
 def test_recall_of_changed_passages(spark):
     """Pairs of passages with changed words: what brute force verifies is found for nine of ten at least."""
     rng = random.Random(31)
